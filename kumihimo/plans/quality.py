@@ -1 +1,68 @@
-"""Queries to come."""
+"""Queries on data quality (problem 2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kumihimo.operators import quality as q
+from kumihimo.plans.registry import query
+from kumihimo.sources.shared import table
+
+CONSTRAINTS = [q.year_constraint("project_start_year"), q.amount_constraint("budget"), q.member_constraint("responsible_ministry", "known_ministry")]
+COLUMNS = ["row_id", "load_id", "project_start_year", "budget", "responsible_ministry"]
+
+_KINDS = """
+cells AS (
+  SELECT t.row_id, t.load_id, 'project_start_year' AS column_name,
+         CASE WHEN project_start_year IS NULL THEN 'null' WHEN project_start_year = '-1' THEN 'marker'
+              WHEN regexp_full_match(project_start_year, '[0-9]{4}') AND project_start_year BETWEEN '1950' AND '2030' THEN 'valid'
+              ELSE 'wrong' END AS kind
+  FROM train t
+  UNION ALL
+  SELECT row_id, load_id, 'budget', CASE WHEN budget IS NULL THEN 'null' WHEN isnan(budget) OR budget < 0 OR budget > 1000000 THEN 'wrong' ELSE 'valid' END FROM train
+  UNION ALL
+  SELECT row_id, load_id, 'responsible_ministry',
+         CASE WHEN responsible_ministry IS NULL THEN 'null'
+              WHEN responsible_ministry IN (SELECT ministry_name FROM bureaus) THEN 'valid' ELSE 'wrong' END FROM train
+)"""
+
+
+def checked_train(spark: SparkSession, base: str) -> DataFrame:
+    return q.with_known(table(spark, base, "train").select(*COLUMNS), "responsible_ministry", table(spark, base, "bureaus"), "ministry_name", "known_ministry")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    train = checked_train(spark, base)
+    values = q.wrong_cells(train, "row_id", CONSTRAINTS).select("column_name", F.lit("value").alias("issue"), F.col("row_id").cast("long").alias("ref_id"))
+    odd = q.load_anomalies(q.load_states(train, "load_id", CONSTRAINTS)).select("column_name", F.lit("load").alias("issue"), F.col("load").cast("long").alias("ref_id"))
+    return values.unionByName(odd.distinct())
+
+
+@query("p2_wrong_values", f"WITH {_KINDS} SELECT column_name, row_id FROM cells WHERE kind = 'wrong'")
+def p2_wrong_values(spark: SparkSession, base: str) -> DataFrame:
+    return q.wrong_cells(checked_train(spark, base), "row_id", CONSTRAINTS).select("column_name", "row_id")
+
+
+@query(
+    "p2_load_rates",
+    f"""WITH {_KINDS}
+    SELECT column_name, load_id, count(*) AS n_rows,
+           round(avg((kind = 'null')::INT), 6) AS null_rate, round(avg((kind = 'marker')::INT), 6) AS marker_rate,
+           round(avg((kind = 'wrong')::INT), 6) AS wrong_rate
+    FROM cells GROUP BY ALL""",
+)
+def p2_load_rates(spark: SparkSession, base: str) -> DataFrame:
+    metrics = q.load_metrics(q.load_states(checked_train(spark, base), "load_id", CONSTRAINTS)).where("metric <> 'spread'")
+    wide = metrics.groupBy("column_name", F.col("load").alias("load_id"), "n_rows").pivot("metric", ["null", "marker", "wrong"]).agg(F.first("value"))
+    return wide.select("column_name", "load_id", "n_rows", *[F.round(k, 6).alias(f"{k}_rate") for k in ("null", "marker", "wrong")])
+
+
+@query("p2_load_anomalies")
+def p2_load_anomalies(spark: SparkSession, base: str) -> DataFrame:
+    return q.load_anomalies(q.load_states(checked_train(spark, base), "load_id", CONSTRAINTS))
+
+
+@query("p2_profile")
+def p2_profile(spark: SparkSession, base: str) -> DataFrame:
+    return q.table_profile(table(spark, base, "train"))
