@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kumihimo.llm import canon, neardup
+from kumihimo.llm import canon, neardup, overlap
 from kumihimo.sources.shared import table
 
 TEXT_COLUMNS = ["project_name", "project_objective", "project_summary", "current_issues"]
 BODY_COLUMNS = ["project_objective", "project_summary", "current_issues"]
 
 
+def p1_overlaps(spark: SparkSession, base: str) -> DataFrame:
+    """Overlapping train and test rows with their coverage and similarity."""
+    return overlap.overlaps(table(spark, base, "train"), table(spark, base, "test"), "row_id", "project_name", "project_summary")
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return p1_overlaps(spark, base).select("train_row_id", "test_row_id")
+
+
+def p1_by_source(spark: SparkSession, base: str) -> DataFrame:
+    """Per load and ministry of the test row: rows, rows that stand in train too, pairs."""
+    test = table(spark, base, "test").select("row_id", "load_id", "responsible_ministry")
+    hits = p1_overlaps(spark, base).groupBy(F.col("test_row_id").alias("row_id")).agg(F.count("*").alias("pairs"), F.max("test_coverage").alias("coverage"))
+    joined = test.join(hits, "row_id", "left")
+    return joined.groupBy("load_id", "responsible_ministry").agg(
+        F.count("*").alias("test_rows"), F.count("pairs").alias("overlapping_rows"),
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"),
+    )
+
+
 def p3_groups(spark: SparkSession, base: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, base, "train"), "row_id", BODY_COLUMNS, required=["project_summary"])
 
@@ -30,6 +50,9 @@ def p6_canonical(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_overlaps": p1_overlaps,
+    "p1_by_source": p1_by_source,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p6_found": p6_found,
