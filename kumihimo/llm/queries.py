@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kumihimo.llm import canon, neardup, overlap
+from kumihimo.llm import canon, distinctive, neardup, overlap, sentences
 from kumihimo.sources.shared import table
 
 TEXT_COLUMNS = ["project_name", "project_objective", "project_summary", "current_issues"]
+TERM_COLUMNS = ["project_name", "project_summary", "current_issues"]
 BODY_COLUMNS = ["project_objective", "project_summary", "current_issues"]
 
 
@@ -41,6 +42,15 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return neardup.pairs_of(p3_groups(spark, base))
 
 
+def p5_scores(spark: SparkSession, base: str) -> DataFrame:
+    return distinctive.record_terms(table(spark, base, "train"), "row_id", TERM_COLUMNS)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    scored = distinctive.characteristic_terms(table(spark, base, "train"), table(spark, base, "glossary_terms"), "row_id", TERM_COLUMNS)
+    return scored.select("row_id", "term_id")
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return canon.found(table(spark, base, "train"), TEXT_COLUMNS)
 
@@ -49,14 +59,26 @@ def p6_canonical(spark: SparkSession, base: str) -> DataFrame:
     return canon.canonical_cells(table(spark, base, "train"), "row_id", TEXT_COLUMNS)
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, base, "documents"), "doc_id", "text")
+
+
+def p9_sentences(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, base, "documents"), "doc_id", "text", with_text=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
     "p1_by_source": p1_by_source,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_scores": p5_scores,
     "p6_found": p6_found,
     "p6_canonical": p6_canonical,
+    "p9_found": p9_found,
+    "p9_sentences": p9_sentences,
 }
 
 SQL: dict[str, str] = {}
