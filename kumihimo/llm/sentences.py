@@ -21,7 +21,9 @@ BREAK = ""
 STOPS = "。｡！？!?.…।؟"
 CLOSERS = "」』）)\\]”\"’»›】〕"
 # Pairs of quotation marks and brackets within which nothing divides.
-PAIRS = [("「", "」"), ("『", "』"), ("（", "）"), ("\\(", "\\)"), ("“", "”"), ("«", "»"), ("【", "】"), ("〔", "〕"), ("\\[", "\\]")]
+PAIRS = [("「", "」"), ("『", "』"), ("（", "）"), ("“", "”"), ("«", "»"), ("【", "】"), ("〔", "〕")]
+#: Characters over which the other mark of a pair is looked for.
+WITHIN = 300
 # Abbreviations that a capital or a figure may follow within a sentence.
 ABBREVIATIONS = (
     "No Nos Nr Nrn Abs Art art Art Fig Figs fig sec Sec ch Ch vol Vol pp p Pp cf Cf vs approx ca Ca circa env app App ed eds Ed "
@@ -59,22 +61,16 @@ def masked(text: Column) -> Column:
     # ordinals, list numbers and dates written with blanks
     m = _replace(m, f"(?<!\\p{{N}})(?<!\\p{{N}}[.,{MASKED}])(\\p{{N}}{{1,2}})[.](?={_BLANK}+[^\\s\\p{{N}}])", f"$1{MASKED}")
     m = _replace(m, f"(\\p{{N}})[.](?={_BLANK}+\\p{{N}})", f"$1{MASKED}")
-    # within a pair of marks on one line
-    for opening, closing in PAIRS:
-        both = opening + closing
-        ends = f"(?=[^{both}\\r\\n]*[{closing}])"
-        m = _replace(m, f"[{STOPS}{FORCED}](?=[{closing}]){ends}", CLOSED)
-        m = _replace(m, f"[{STOPS}{FORCED}]{ends}", MASKED)
-    # low opening quotation marks close with what opens elsewhere, so the opening one is looked for
-    low = "(?<=„[^„“”\r\n]{0,400})"
-    m = F.when(
-        F.instr(m, "„") > 0, _replace(_replace(m, f"{low}[{STOPS}](?=[“”])", CLOSED), f"{low}[{STOPS}](?=[^„“”\r\n]*[“”])", MASKED)
-    ).otherwise(m)
-    # straight quotation marks, in pairs along the line
-    odd = "(?=[^\"\\r\\n]*\"(?:[^\"\\r\\n]*\"[^\"\\r\\n]*\")*[^\"\\r\\n]*(?:[\\r\\n]|$))"
-    m = F.when(
-        F.instr(m, '"') > 0, _replace(_replace(m, f"[{STOPS}](?=\"){odd}", CLOSED), f"[{STOPS}]{odd}", MASKED)
-    ).otherwise(m)
+    # within quotation marks and brackets on one line: the next mark of a pair is a closing one
+    both = "".join(o + c for o, c in PAIRS)
+    closing = "".join(c for _, c in PAIRS)
+    m = _replace(m, f"[{STOPS}{FORCED}](?=[{closing}])", CLOSED)
+    m = _replace(m, f"[{STOPS}{FORCED}](?=[^{both}\r\n]{{1,{WITHIN}}}[{closing}])", MASKED)
+    # marks that also open, or close without an opening one: the opening one is looked for
+    for before, after in (("\\([^()\r\n]{1,%d}", "\\)"), ("\\[[^\\[\\]\r\n]{1,%d}", "\\]"), ("„[^„“”\r\n]{1,%d}", "[“”]"), ('(?:^|[\\s(])"[^"\r\n]{1,%d}', '"')):
+        inside = f"(?<={before % WITHIN})[{STOPS}{FORCED}]"
+        m = _replace(m, f"{inside}(?={after})", CLOSED)
+        m = _replace(m, f"{inside}(?=[^()\\[\\]\"„“”\r\n]{{1,{WITHIN}}}{after})", MASKED)
     return m
 
 
