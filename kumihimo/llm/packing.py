@@ -127,7 +127,7 @@ def pack(items: DataFrame, capacities: DataFrame, block: int = BLOCK) -> DataFra
     some = items.where("n_tokens > 0").select("doc_id", "n_tokens")
     n_blocks = max(1, -(-some.count() // block))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = []
         # the items' order doesn't depend on how they arrived
         group = group.sort_values("doc_id")
