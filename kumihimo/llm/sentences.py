@@ -22,8 +22,6 @@ STOPS = "。｡！？!?.…।؟"
 CLOSERS = "」』）)\\]”\"’»›】〕"
 # Pairs of quotation marks and brackets within which nothing divides.
 PAIRS = [("「", "」"), ("『", "』"), ("（", "）"), ("“", "”"), ("«", "»"), ("【", "】"), ("〔", "〕")]
-#: Characters over which the other mark of a pair is looked for.
-WITHIN = 300
 # Abbreviations that a capital or a figure may follow within a sentence.
 ABBREVIATIONS = (
     "No Nos Nr Nrn Abs Art art Art Fig Figs fig sec Sec ch Ch vol Vol pp p Pp cf Cf vs approx ca Ca circa env app App ed eds Ed "
@@ -61,19 +59,30 @@ def masked(text: Column) -> Column:
     # ordinals, list numbers and dates written with blanks
     m = _replace(m, f"(?<!\\p{{N}})(?<!\\p{{N}}[.,{MASKED}])(\\p{{N}}{{1,2}})[.](?={_BLANK}+[^\\s\\p{{N}}])", f"$1{MASKED}")
     m = _replace(m, f"(\\p{{N}})[.](?={_BLANK}+\\p{{N}})", f"$1{MASKED}")
-    # within quotation marks and brackets on one line: the next mark of a pair is a closing one
-    both = "".join(o + c for o, c in PAIRS)
-    closing = "".join(c for _, c in PAIRS)
-    m = _replace(m, f"[{STOPS}{FORCED}](?=[{closing}])", CLOSED)
-    m = _replace(m, f"[{STOPS}{FORCED}](?=[^{both}\r\n]{{1,{WITHIN}}}[{closing}])", MASKED)
-    # marks that also open, or close without an opening one: the opening one is looked for
-    for before, after in (("\\([^()\r\n]{1,%d}", "\\)"), ("\\[[^\\[\\]\r\n]{1,%d}", "\\]"), ("„[^„“”\r\n]{1,%d}", "[“”]"), ('(?:^|[\\s(])"[^"\r\n]{1,%d}', '"')):
-        inside = f"(?<={before % WITHIN})[{STOPS}{FORCED}]"
-        m = _replace(m, f"{inside}(?={after})", CLOSED)
-        m = _replace(m, f"{inside}(?=[^()\\[\\]\"„“”\r\n]{{1,{WITHIN}}}{after})", MASKED)
     return m
 
 
+def quoted(segments: Column) -> Column:
+    """The segments put together, stop marks within quotation marks and brackets masked.
+
+    ``segments`` is a text cut before and after every such mark. A segment on one line is
+    within a pair if the next mark is a closing one, or, for marks that also open or stand
+    alone, if the marks on both sides belong together.
+    """
+
+    def inside(s: Column, i: Column) -> Column:
+        before, after = F.get(segments, i - 1), F.get(segments, i + 1)
+        straight = (before == '"') & (after == '"') & F.coalesce(F.get(segments, i - 2).rlike("[\\s(]\\z"), F.lit(True))
+        pair = after.isin([c for _, c in PAIRS]) | ((before == "(") & (after == ")")) | ((before == "[") & (after == "]"))
+        return (pair | ((before == "„") & after.isin("“", "”")) | straight) & ~s.rlike("[\\r\\n]")
+
+    def mask(s: Column, i: Column) -> Column:
+        last = F.regexp_replace(s, f"[{STOPS}{FORCED}]\\z", CLOSED)
+        return F.when(F.coalesce(inside(s, i), F.lit(False)), F.translate(last, STOPS + FORCED, MASKED * len(STOPS + FORCED))).otherwise(s)
+
+    return F.array_join(F.transform(segments, mask), "")
+
+
 def broken(m: Column) -> Column:
     """Masked text with a break mark behind every sentence."""
     after_latin = "(?:[^\\p{Ll}\\s]|\\p{Ll}-\\p{Lu}|\\p{Ll}\\p{Lu})"
@@ -104,9 +113,12 @@ def sentence_units(df: DataFrame, id_column: str, text_column: str, with_text: b
     """
     text = F.col(text_column).cast("string")
     has_letters = df.where(text.rlike("\\p{L}"))
-    pieces = has_letters.select(
-        F.col(id_column).alias("doc"), *([text.alias("whole")] * with_text), F.posexplode(F.split(broken(masked(text)), BREAK, -1)).alias("at", "piece")
-    )
+    whole = [text.alias("whole")] * with_text
+    marks = "".join(o + c for o, c in PAIRS) + "()\\[\\]„\""
+    # one step per select: a column used more than once is then computed once
+    cut = has_letters.select(F.col(id_column).alias("doc"), *whole, F.split(masked(text), f"(?<=[{marks}])|(?=[{marks}])", -1).alias("segments"))
+    put = cut.select("doc", *(["whole"] * with_text), quoted(F.col("segments")).alias("masked"))
+    pieces = put.select("doc", *(["whole"] * with_text), F.posexplode(F.split(broken(F.col("masked")), BREAK, -1)).alias("at", "piece"))
     before = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     sized = pieces.select(
         "doc", *(["whole"] * with_text), "at", F.length("piece").cast("long").alias("n"),
