@@ -136,7 +136,8 @@ def pack(items: DataFrame, capacities: DataFrame, block: int = BLOCK) -> DataFra
             rows += [(size_id, f"{size_id}-{key[0]}-{p}", *x) for p, *x in pack_block(ids, tokens, capacity)]
         return pd.DataFrame(rows, columns=["pack_size_id", "pack_id", "doc_id", "piece", "start_token", "n_tokens"])
 
-    dealt = some.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+    # a stated number of partitions: adaptive execution would put small blocks into one task
+    dealt = some.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))).repartition(min(n_blocks, 4096), "block")
     return dealt.groupBy("block").applyInPandas(run, "pack_size_id int, pack_id string, doc_id long, piece int, start_token long, n_tokens long")
 
 
