@@ -1,12 +1,12 @@
 """Near-duplicate records with small edits (problem 3), by deletion-variant signatures.
 
-Each text gets a one-permutation minhash of its character 3-grams. One bit of each register
+Each text gets a one-permutation minhash of its character 2-grams. One bit of each register
 makes a binary signature, cut into ``SEGMENTS`` segments: two signatures that differ in at
 most ``2 * SEGMENTS - 1`` bits have a segment that differs in at most one bit. A segment of
 32 bits is indexed under its variants with one hexadecimal digit replaced by a wildcard;
 segments that differ in one bit share the variant whose wildcard covers it, so an equality
-join finds them. Partners are then verified on all registers, and the links joined into
-groups.
+join finds them. Partners are then verified on the registers of a second minhash, of longer
+grams, and the links joined into groups.
 
 Cost: one pass over the texts; ``8 * SEGMENTS`` index rows of 16 bytes for each distinct
 text, moved once; everything after that handles only texts that share a variant. Equal
@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from kumihimo.operators.components import connected_components
 from kumihimo.sources.shared import written
 
-SEGMENTS = 6
+SEGMENTS = 8
 DIGITS = 8  # hexadecimal digits of a segment
 REGISTERS = 32 * SEGMENTS
-GRAM = 3
-#: Estimated Jaccard similarity of 3-grams from which two texts are one; texts that share
-#: well over half of their wording stand above 0.75, others below 0.4.
-THRESHOLD = 0.58
+GRAM = 2
+#: Partners are verified on longer grams, which tell long texts of one vocabulary apart.
+CHECK_GRAM = 5
+CHECK_REGISTERS = 112
+#: Estimated Jaccard similarity of 5-grams from which two texts are one; texts that share
+#: well over half of their wording stand above 0.65, others below 0.35.
+THRESHOLD = 0.5
 #: A variant shared by more texts than this is linked through its first text.
 HOT = 256
 
@@ -64,11 +67,13 @@ def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required:
                 reg = minhash_registers(hashes, owners(at, starts), len(texts), REGISTERS)
                 bits = ((reg >> np.uint64(17)) & np.uint64(1)).astype(np.uint64).reshape(len(texts), SEGMENTS, 32)
                 segs = (bits << np.arange(32, dtype=np.uint64)).sum(axis=2).astype(np.int64)
+                hashes, at = gram_hashes(codes, starts, CHECK_GRAM)
+                check = minhash_registers(hashes, owners(at, starts), len(texts), CHECK_REGISTERS)
                 fp = fingerprints(codes, starts)
                 keep = np.flatnonzero(np.diff(starts) > 0)
                 arrays = [batch.column(0).slice(lo, len(texts)).take(pa.array(keep)), pa.array(fp[keep, 0]), pa.array(fp[keep, 1])]
                 arrays += [pa.array(segs[keep, i]) for i in range(SEGMENTS)]
-                arrays.append(binary_column((reg[keep] & np.uint64(0xFF)).astype(np.uint8)))
+                arrays.append(binary_column((check[keep] & np.uint64(0xFF)).astype(np.uint8)))
                 yield pa.RecordBatch.from_arrays(arrays, names=_SCHEMA.fieldNames())
 
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.trim(F.col(c)) != "") for c in required], F.lit(True))
