@@ -61,6 +61,14 @@ def global_percent_rank(df: DataFrame, value: str, out: str, by: Sequence[str] =
     return df.join(ranks, [*by, value], "left")
 
 
+def range_of(value: Column, edges: Sequence[float], base: int = 0) -> Column:
+    """How many of the ascending ``edges`` lie below a value, by a tree of comparisons."""
+    if not edges:
+        return F.lit(base)
+    mid = len(edges) // 2
+    return F.when(value > edges[mid], range_of(value, edges[mid + 1 :], base + mid + 1)).otherwise(range_of(value, edges[:mid], base))
+
+
 def running_total(df: DataFrame, order: str, amount: str, out: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
     """``df`` (one row per value of ``order``) with the running total of ``amount``.
 
@@ -69,8 +77,7 @@ def running_total(df: DataFrame, order: str, amount: str, out: str, by: Sequence
     """
     numeric = F.col(order).cast("double")
     cuts = df.agg(F.percentile_approx(numeric, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"] or []
-    edges = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < numeric)))
+    ranged = df.withColumn("_range", range_of(numeric, sorted(set(cuts))))
     per = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))

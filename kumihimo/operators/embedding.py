@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from kumihimo.functions.expr import range_of
 from kumihimo.functions.text import collapsed, labelled_text, nfkc, text_hash
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -44,7 +45,7 @@ def input_report(inputs: DataFrame) -> DataFrame:
     )
 
 
-def fixed_batches(inputs: DataFrame, size: int, buckets: int = 1024) -> DataFrame:
+def fixed_batches(inputs: DataFrame, size: int, buckets: int = 256) -> DataFrame:
     """row_id, row_position, batch: positions in the order of the ids, ``size`` to a batch.
 
     Positions are numbered within ranges of ids and shifted by the ranges' sizes, of which
@@ -53,8 +54,7 @@ def fixed_batches(inputs: DataFrame, size: int, buckets: int = 1024) -> DataFram
     if size <= 0:
         raise ValueError("size must be positive")
     cuts = inputs.agg(F.percentile_approx("row_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(int(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    ranged = inputs.select("row_id", F.size(F.filter(edges, lambda e: e < F.col("row_id"))).alias("_range"))
+    ranged = inputs.select("row_id", range_of(F.col("row_id"), sorted(set(cuts))).alias("_range"))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

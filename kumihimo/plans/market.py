@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kumihimo.operators import domain as d, market as m, taxonomy as t
 from kumihimo.plans.registry import query
-from kumihimo.sources.shared import table
+from kumihimo.sources.shared import table, written
 
 #: Themes of the domain queries: the processes seen most, with a real use case each.
 CHOSEN = ["A01__U05", "A01__U06", "A02__U08"]
@@ -111,6 +111,19 @@ def long(spark: SparkSession, base: str) -> DataFrame:
     return t.theme_long(t.join_taxonomy(projects(spark, base).select(*columns), t.valid_labels(labels(spark, base))))
 
 
+THEME_COLUMNS = ["project_key", "project_start_year", "admin_process", "ai_usecase", "theme_code", "policy_domain", "responsible_ministry", "is_high_app"]
+
+
+def themes(spark: SparkSession, base: str) -> DataFrame:
+    """Themes in short rows, written once: metrics read them several times."""
+    return written(long(spark, base).select(*THEME_COLUMNS))
+
+
+def chosen(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of the chosen themes, written once."""
+    return written(long(spark, base).where(F.col("theme_code").isin(CHOSEN)))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
@@ -132,7 +145,7 @@ def yearly_theme_metrics(spark: SparkSession, base: str) -> DataFrame:
     round(concentration_hhi, 6) AS concentration_hhi, round(no_ministry / nullif(high_app_project_count, 0), 6) AS high_app_ministry_missing_rate, aiu_fit, ranking_eligible FROM metrics""",
 )
 def theme_metrics(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(m.theme_metrics(long(spark, base)).drop("admin_fit", "usecase_fit", "global_high_app_rate_prior"))
+    return rounded(m.theme_metrics(themes(spark, base)).drop("admin_fit", "usecase_fit", "global_high_app_rate_prior"))
 
 
 @query(
@@ -143,7 +156,7 @@ def theme_metrics(spark: SparkSession, base: str) -> DataFrame:
     rank() OVER (ORDER BY round(score, 9) DESC) AS overall_rank FROM w WHERE ranking_eligible""",
 )
 def theme_scores(spark: SparkSession, base: str) -> DataFrame:
-    scored = m.theme_scores(m.theme_metrics(long(spark, base))).where("ranking_eligible")
+    scored = m.theme_scores(m.theme_metrics(themes(spark, base))).where("ranking_eligible")
     return rounded(scored.select("theme_code", *[f"{c}_score" for c in m.COMPONENTS], "strategic_score", "overall_rank"))
 
 
@@ -156,7 +169,7 @@ _PROFILE_SQL = " UNION ALL ".join(f"SELECT theme_code, '{n}' AS profile, {w} AS
     SELECT theme_code, profile, round(score, 6) AS score, rank() OVER (PARTITION BY profile ORDER BY round(score, 9) DESC) AS rank FROM u""",
 )
 def weight_profiles(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(m.weight_profiles(m.theme_metrics(long(spark, base))))
+    return rounded(m.weight_profiles(m.theme_metrics(themes(spark, base))))
 
 
 @query(
@@ -166,7 +179,7 @@ def weight_profiles(spark: SparkSession, base: str) -> DataFrame:
     max(rank) FILTER (profile = 'market_size') AS market_size_rank, min(rank) AS best_rank, max(rank) AS worst_rank, max(rank) - min(rank) AS rank_spread FROM r GROUP BY ALL""",
 )
 def rank_sensitivity(spark: SparkSession, base: str) -> DataFrame:
-    return m.rank_sensitivity(m.weight_profiles(m.theme_metrics(long(spark, base))))
+    return m.rank_sensitivity(m.weight_profiles(m.theme_metrics(themes(spark, base))))
 
 
 @query(
@@ -175,7 +188,7 @@ def rank_sensitivity(spark: SparkSession, base: str) -> DataFrame:
     + " UNION ALL ".join(f"SELECT theme_code, '{n}' AS component, round({w!r} * s{i}, 6) AS contribution FROM comp WHERE ranking_eligible" for i, (n, w) in enumerate(zip(m.COMPONENTS, m.PROFILES["strategic"]), 1)),
 )
 def score_contributions(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(m.score_contributions(m.theme_metrics(long(spark, base))))
+    return rounded(m.score_contributions(m.theme_metrics(themes(spark, base))))
 
 
 @query(
@@ -298,7 +311,7 @@ def observed(rows: DataFrame) -> list[str]:
 
 
 def domain_metrics_of(spark: SparkSession, base: str) -> DataFrame:
-    rows = long(spark, base)
+    rows = chosen(spark, base)
     return d.domain_metrics(rows, observed(rows))
 
 
@@ -336,7 +349,7 @@ def domain_effective_weights(spark: SparkSession, base: str) -> DataFrame:
     round(count(DISTINCT CASE WHEN is_high_app THEN project_key END) / count(DISTINCT project_key), 6) AS high_app_rate FROM theme WHERE theme_code IN {_CHOSEN} GROUP BY ALL""",
 )
 def domain_yearly(spark: SparkSession, base: str) -> DataFrame:
-    rows = long(spark, base)
+    rows = chosen(spark, base)
     return rounded(m.yearly_theme_metrics(d.chosen_rows(rows, observed(rows)), ["theme_code", "policy_domain"]))
 
 
@@ -350,7 +363,7 @@ ACCOUNTS = (
 
 @query("ministry_accounts", f"WITH {ACCOUNTS} SELECT * EXCLUDE (high_app_budget_total), round(high_app_budget_total, 4) AS high_app_budget_total, round(high_app_project_count / project_count, 4) AS high_app_rate FROM ar")
 def ministry_accounts(spark: SparkSession, base: str) -> DataFrame:
-    rows = long(spark, base)
+    rows = chosen(spark, base)
     return rounded(d.ministry_accounts(rows, observed(rows)), 4)
 
 
@@ -360,7 +373,7 @@ def ministry_accounts(spark: SparkSession, base: str) -> DataFrame:
     SELECT theme_code, policy_domain, string_agg(responsible_ministry, ' / ' ORDER BY k_) AS priority_ministries, sum(high_app_project_count)::BIGINT AS priority_high_app_count FROM o WHERE k_ <= 3 GROUP BY ALL""",
 )
 def priority_accounts(spark: SparkSession, base: str) -> DataFrame:
-    rows = long(spark, base)
+    rows = chosen(spark, base)
     return d.priority_accounts(d.ministry_accounts(rows, observed(rows)))
 
 
@@ -387,6 +400,6 @@ def service_cards(spark: SparkSession, base: str) -> DataFrame:
     SELECT theme_code, policy_domain, place, project_key, b AS budget FROM p WHERE place <= 5""",
 )
 def representative_projects(spark: SparkSession, base: str) -> DataFrame:
-    rows = long(spark, base)
+    rows = chosen(spark, base)
     scored = d.domain_scores(d.domain_metrics(rows, observed(rows)))
     return d.representative_projects(rows, scored.where("domain_rank_within_theme <= 3").select("theme_code", "policy_domain"))
