@@ -50,9 +50,9 @@ def masked(text: Column) -> Column:
     m = _replace(m, "(?<=[\\p{L}\\p{N}])[.!?](?=[a-z0-9/_-])", MASKED)
     m = _replace(m, "(?<=\\p{N})[.](?=\\p{N})", MASKED)
     # a time of day may end its sentence; otherwise it is an abbreviation
-    m = _replace(m, f"(?<=\\b[ap][.{MASKED}]m)[.](?=\\s+(?:\\p{{Lu}}|\\p{{Ll}}-\\p{{Lu}}|[\"“«„])|\\s*[\\r\\n]|\\s*$)", FORCED)
+    m = _replace(m, f"(?<=\\b[ap][.{MASKED}]m)[.](?=[\\s\\p{{Z}}]+(?:\\p{{Lu}}|\\p{{Ll}}-\\p{{Lu}}|[\"“«„])|\\s*[\\r\\n]|\\s*$)", FORCED)
     # initials and other single letters, the abbreviations, and marks of Indic and Thai ones
-    m = _replace(m, "(?<![\\p{L}\\p{M}\\p{N}])(\\p{L}\\p{M}*)[.](?=\\s|\\p{L}|[-,;:)])", f"$1{MASKED}")
+    m = _replace(m, "(?<![\\p{L}\\p{M}\\p{N}])(\\p{L}\\p{M}*)[.](?=[\\s\\p{Z}]|\\p{L}|[-,;:)])", f"$1{MASKED}")
     m = _replace(m, f"(?<=[{MASKED}]\\p{{L}})[.](?=[-,;:)]|\\s*\\p{{Ll}})", MASKED)
     m = _replace(m, f"(?<![\\p{{L}}\\p{{N}}])({'|'.join(dict.fromkeys(ABBREVIATIONS))})[.](?=\\s*[^\\s])(?!\\s*[\\r\\n])", f"$1{MASKED}")
     m = _replace(m, "(?<=[\\p{IsDevanagari}\\p{IsThai}])[.]", MASKED)
@@ -72,7 +72,7 @@ def quoted(segments: Column) -> Column:
 
     def inside(s: Column, i: Column) -> Column:
         before, after = F.get(segments, i - 1), F.get(segments, i + 1)
-        straight = (before == '"') & (after == '"') & F.coalesce(F.get(segments, i - 2).rlike("[\\s(]\\z"), F.lit(True))
+        straight = (before == '"') & (after == '"') & F.coalesce(F.get(segments, i - 2).rlike("[\\s\\p{Z}(]\\z"), F.lit(True))
         pair = after.isin([c for _, c in PAIRS]) | ((before == "(") & (after == ")")) | ((before == "[") & (after == "]"))
         return (pair | ((before == "„") & after.isin("“", "”")) | straight) & ~s.rlike("[\\r\\n]")
 
@@ -90,13 +90,13 @@ def broken(m: Column) -> Column:
         # marks that end a sentence wherever they stand
         f"([。｡！？।؟][。｡！？।؟!?…]*[{CLOSERS}]*)(?![{CLOSERS}])",
         # marks that need a blank and no small letter behind them
-        f"([.!?…{FORCED}]+[{CLOSERS}]*)(?=\\s+{after_latin}|{_BLANK}+{after_latin})",
+        f"([.!?…{FORCED}]+[{CLOSERS}]*)(?=[\\s\\p{{Z}}]+{after_latin})",
         # the same before a script without blanks; dots there may be a pause
         f"([!?]+[{CLOSERS}]*)(?=[{_CJK}])",
         "(…+)(?=[\\p{IsHan}\\p{N}“])(?![^。！？…\\r\\n]{0,80}[ぁ-ゖ])",
         # a quotation that is a sentence of its own
         f"({CLOSED}[」』]+)(?!{AFTER_QUOTE})",
-        f"({CLOSED}[”\"’»“]+)(?=\\s+\\p{{Lu}}|{_BLANK}+\\p{{Lu}})",
+        f"({CLOSED}[”\"’»“]+)(?=[\\s\\p{{Z}}]+\\p{{Lu}})",
         "([\\r\\n\\x{0b}\\x{0c}\\x{85}\\x{2028}\\x{2029}]+)",
         # blanks between Thai clauses
         f"(?<=\\p{{IsThai}})(?<!{'|'.join(THAI_KEEP_AFTER)})({_BLANK}+)(?=\\p{{IsThai}})(?!{'|'.join(THAI_KEEP_BEFORE)})",
