@@ -144,3 +144,26 @@ def hashing_embedder(dimension: int = 64) -> Callable[[], Embedder]:
         return embed
 
     return make
+
+
+def token_batches(inputs: DataFrame, most_tokens: int, most_rows: int) -> DataFrame:
+    """row_id, part, batch: consecutive inputs of a partition, a batch full at either bound.
+
+    An input above the bound of tokens is a batch of its own.
+    """
+    if most_tokens <= 0 or most_rows <= 0:
+        raise ValueError("bounds must be positive")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, tokens, rows = 0, 0, 0
+        for whole in batches:
+            out = []
+            for n in whole.column(1).to_pylist():
+                if rows and (tokens + n > most_tokens or rows >= most_rows):
+                    number, tokens, rows = number + 1, 0, 0
+                tokens, rows = tokens + n, rows + 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array(out, pa.int64())], names=["row_id", "batch"])
+
+    schema = T.StructType([inputs.schema["row_id"], T.StructField("batch", T.LongType())])
+    return inputs.select("row_id", "estimated_tokens").mapInArrow(run, schema).withColumn("part", F.spark_partition_id())

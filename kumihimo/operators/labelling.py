@@ -131,3 +131,25 @@ def rule_based_caller() -> Caller:
         return json.dumps({"policy_domain": DOMAINS[h % 15], "admin_process": PROCESSES[h // 5 % 13], "ai_usecase": uses, "ai_applicability": level, "classification_reason": "by rule"})
 
     return ask
+
+
+def load_labels(stored: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Stored labels of exactly the expected keys, once each, each valid again; else ValueError."""
+    keys = stored.groupBy(key).agg(F.count("*").alias("n"))
+    both = keys.withColumn("_l", F.lit(1)).join(expected.select(key).distinct().withColumn("_r", F.lit(1)), key, "full_outer")
+    broken = rule_violations(F.col("policy_domain"), F.col("admin_process"), F.filter(F.split("ai_usecase", "[|]"), lambda x: x != ""), F.col("ai_applicability"), F.col("classification_reason"))
+    row = both.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("_l").isNull() | F.col("_r").isNull()).alias("odd")).first()
+    invalid = stored.where(F.size(broken) > 0).count()
+    if row["repeated"] or row["odd"] or invalid:
+        raise ValueError(f"{row['repeated']} keys are repeated, {row['odd']} are on one side only, {invalid} rows break a rule")
+    return stored
+
+
+def tool_or_text_answer(response: dict) -> tuple[dict | None, int, int]:
+    """The object in a chat response, from a tool call or else the text, and its token counts."""
+    parts = response.get("output", {}).get("message", {}).get("content", [])
+    usage = response.get("usage", {})
+    value = next((p["toolUse"]["input"] for p in parts if isinstance(p.get("toolUse", {}).get("input"), dict)), None)
+    if value is None:
+        value = first_json_object("\n".join(p["text"] for p in parts if "text" in p))
+    return value, int(usage.get("inputTokens", 0)), int(usage.get("outputTokens", 0))

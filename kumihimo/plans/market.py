@@ -403,3 +403,39 @@ def representative_projects(spark: SparkSession, base: str) -> DataFrame:
     rows = chosen(spark, base)
     scored = d.domain_scores(d.domain_metrics(rows, observed(rows)))
     return d.representative_projects(rows, scored.where("domain_rank_within_theme <= 3").select("theme_code", "policy_domain"))
+
+
+@query(
+    "portfolio",
+    f"""WITH {DOMAIN_SCORED}, ac AS (SELECT theme_code, policy_domain, responsible_ministry, count(*) FILTER (is_high_app) AS h FROM sel WHERE responsible_ministry IS NOT NULL GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY theme_code, policy_domain ORDER BY h DESC, responsible_ministry) AS k_ FROM ac),
+    p AS (SELECT theme_code, policy_domain, string_agg(responsible_ministry, ' / ' ORDER BY k_) AS priority_ministries, sum(h)::BIGINT AS priority_high_app_count FROM o WHERE k_ <= 3 GROUP BY ALL)
+    SELECT theme_code, policy_domain, portfolio_rank, priority_ministries, priority_high_app_count FROM dr JOIN p USING (theme_code, policy_domain) WHERE ranking_eligible""",
+)
+def portfolio(spark: SparkSession, base: str) -> DataFrame:
+    """Scored domains with their first accounts."""
+    rows = chosen(spark, base)
+    scored = d.domain_scores(d.domain_metrics(rows, observed(rows))).where("ranking_eligible").select("theme_code", "policy_domain", "portfolio_rank")
+    return scored.join(d.priority_accounts(d.ministry_accounts(rows, observed(rows))), ["theme_code", "policy_domain"])
+
+
+@query(
+    "population_diagnostics",
+    f"""WITH {BASE} SELECT count(*) AS projects, round(avg((use_cases = ['U99'])::INT), 6) AS no_use_rate, round(avg((len(use_cases) > 1)::INT), 6) AS several_uses_rate,
+    round(avg((ai_applicability = 2)::INT), 6) AS high_app_rate, count(DISTINCT responsible_ministry) AS ministries, round(avg((responsible_ministry IS NULL)::INT), 6) AS no_ministry_rate FROM joined""",
+)
+def population_diagnostics(spark: SparkSession, base: str) -> DataFrame:
+    rows = t.join_taxonomy(projects(spark, base).select("source_split", "project_id", "responsible_ministry", "project_start_year"), t.valid_labels(labels(spark, base)))
+    none = F.col("use_cases") == F.array(F.lit(t.NO_USE))
+    return rounded(rows.agg(
+        F.count("*").alias("projects"), F.avg(none.cast("int")).alias("no_use_rate"), F.avg((F.size("use_cases") > 1).cast("int")).alias("several_uses_rate"),
+        F.avg((F.col("ai_applicability") == 2).cast("int")).alias("high_app_rate"), F.count_distinct("responsible_ministry").alias("ministries"),
+        F.avg(F.col("responsible_ministry").isNull().cast("int")).alias("no_ministry_rate"),
+    ))
+
+
+@query("top_themes", f"WITH {SCORED}, w AS (SELECT *, {_WEIGHTED['strategic']} AS score FROM comp WHERE ranking_eligible) SELECT theme_code, round(score, 6) AS strategic_score FROM w ORDER BY round(score, 9) DESC, theme_code LIMIT 3")
+def top_themes(spark: SparkSession, base: str) -> DataFrame:
+    """The three themes that a portfolio starts from."""
+    scored = m.theme_scores(m.theme_metrics(themes(spark, base))).where("ranking_eligible")
+    return rounded(scored.orderBy(F.round("strategic_score", 9).desc(), "theme_code").limit(3).select("theme_code", "strategic_score"))

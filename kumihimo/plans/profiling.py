@@ -252,3 +252,36 @@ def repeated_deliveries(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "train").where("project_id IS NOT NULL").select("project_id", "row_id")
     counts = rows.groupBy("project_id").agg(F.count("*").alias("deliveries")).where("deliveries > 1")
     return rows.join(counts, "project_id")
+
+
+@query(
+    "seen_unseen_auc",
+    f"""WITH {SCORED}, {ROWS}, n AS (SELECT project_name, min(y) AS first FROM rows0 WHERE y IS NOT NULL AND project_name IS NOT NULL GROUP BY ALL),
+    z AS (SELECT s.*, coalesce(first < s.validation_year, false) AS seen FROM s JOIN train USING (row_id) LEFT JOIN n USING (project_name)),
+    r AS (SELECT *, rank() OVER (PARTITION BY model, seen ORDER BY score) + (count(*) OVER (PARTITION BY model, seen, score) - 1) / 2.0 AS k FROM z)
+    SELECT model, seen, count(*) AS n, round((sum(k) FILTER (target = 1) - sum(target) * (sum(target) + 1) / 2.0) / nullif(sum(target) * (count(*) - sum(target)), 0), 6) AS auc FROM r GROUP BY ALL""",
+)
+def seen_unseen_auc(spark: SparkSession, base: str) -> DataFrame:
+    """AUC of rows whose name was seen in earlier years, and of the others."""
+    first = f.with_first_year(labelled(spark, base), "project_name", "year").groupBy("project_name").agg(F.min("_first").alias("first"))
+    names = table(spark, base, "train").select("row_id", "project_name")
+    rows = scored(spark, base).join(names, "row_id").join(first, "project_name", "left")
+    flagged = rows.withColumn("seen", F.coalesce(F.col("first") < F.col("validation_year"), F.lit(False)))
+    return rounded(auc_by(flagged, "score", "target", ["model", "seen"]).select("model", "seen", "n", "auc"))
+
+
+@query("column_kinds")
+def column_kinds(spark: SparkSession, base: str) -> DataFrame:
+    return p.column_kinds(table(spark, base, "train"))
+
+
+@query("missing_long", "SELECT 'train' AS split, load_id, count(*) AS n, count(*) - count(budget) AS no_budget, count(*) - count(current_issues) AS no_issues FROM train GROUP BY ALL UNION ALL SELECT 'test', load_id, count(*), count(*) - count(budget), count(*) - count(current_issues) FROM test GROUP BY ALL")
+def missing_long(spark: SparkSession, base: str) -> DataFrame:
+    both = table(spark, base, "train").select(F.lit("train").alias("split"), "load_id", "budget", "current_issues").unionByName(table(spark, base, "test").select(F.lit("test").alias("split"), "load_id", "budget", "current_issues"))
+    return both.groupBy("split", "load_id").agg(F.count("*").alias("n"), F.count_if(F.col("budget").isNull()).alias("no_budget"), F.count_if(F.col("current_issues").isNull()).alias("no_issues"))
+
+
+@query("latest_delivery", "SELECT project_id, row_id, load_id FROM train WHERE project_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY loaded_at DESC NULLS LAST, row_id DESC) = 1")
+def latest_delivery(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "train").where("project_id IS NOT NULL").select("project_id", "row_id", "load_id", "loaded_at")
+    return f.last_per_group(rows, ["project_id"], [F.col("loaded_at").desc_nulls_last(), F.desc("row_id")]).drop("loaded_at")

@@ -105,3 +105,18 @@ def test_streamed_states_match_the_batch(spark, tmp_path):
     inc.append_states(stream, "load_id", [q.year_constraint("y")], lambda x: x, str(tmp_path / "states"), str(tmp_path / "cp"))
     merged = q.merge_states(spark.read.parquet(str(tmp_path / "states")).drop("batch"))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, q.load_states(df, "load_id", [q.year_constraint("y")]).collect()))
+
+
+def test_suite_and_coefficients(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, i % 2, float(i % 2), [float(i % 2), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, target int, x double, embedding array<double>")
+    folds = spark.createDataFrame([(0, 2021, "train" if r[0] < 30 else "valid", r[0]) for r in rows], "fold int, validation_year int, role string, row_id long")
+    oof, metrics, summary = models.run_suite(df, folds, ["E1_embedding_lr", "E5_tabular_gbt"])
+    assert oof.columns == ["row_id", "target", "E1_embedding_lr", "E5_tabular_gbt"] and oof.where("E1_embedding_lr IS NOT NULL").count() == 10
+    assert metrics.count() == 2 and summary.first()["fold_2021"] == 1.0
+    fitted = LogisticRegression(labelCol="y").fit(spark.createDataFrame([(Vectors.dense(1.0, 0.0), 1.0), (Vectors.dense(0.0, 1.0), 0.0)] * 5, ["features", "y"]))
+    got = {r["feature"]: r["coefficient"] for r in models.top_coefficients(fitted, spark.createDataFrame([("a",), ("b",)], "term string"), 1).collect()}
+    assert got["a"] > 0 > got["b"]

@@ -156,3 +156,24 @@ def test_running_total_and_ranks(spark):
 def test_look_alikes(raw, clean):
     assert glyphs.clean(raw) == clean
     assert glyphs.clean(clean) == clean
+
+
+def test_stored_labels_are_checked(spark):
+    schema = "k string, policy_domain string, admin_process string, ai_usecase string, ai_applicability int, classification_reason string"
+    good = spark.createDataFrame([("a", "D01", "A01", "U01|U02", 1, "r")], schema)
+    expected = spark.createDataFrame([("a",)], "k string")
+    assert labelling.load_labels(good, expected, "k").count() == 1
+    for bad in (good.unionByName(good), good.withColumn("k", F.lit("b")), good.withColumn("ai_applicability", F.lit(0))):
+        with pytest.raises(ValueError):
+            labelling.load_labels(bad, expected, "k")
+
+
+def test_chat_answers():
+    tool = {"output": {"message": {"content": [{"toolUse": {"input": {"a": 1}}}]}}, "usage": {"inputTokens": 3, "outputTokens": 2}}
+    assert labelling.tool_or_text_answer(tool) == ({"a": 1}, 3, 2)
+    assert labelling.tool_or_text_answer({"output": {"message": {"content": [{"text": 'x {"b": 2}'}]}}}) == ({"b": 2}, 0, 0)
+
+
+def test_token_batches(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([3, 3, 3, 20, 1, 1, 1])], "row_id int, estimated_tokens long").coalesce(1)
+    assert [r["batch"] for r in emb.token_batches(df, 6, 2).orderBy("row_id").collect()] == [0, 0, 1, 2, 3, 3, 4]
