@@ -80,7 +80,7 @@ def domain_metrics(long: DataFrame, themes: Sequence[str], recent_years: int = 2
     )
     priors = rows.groupBy("theme_code").agg(F.avg(high.cast("int")).alias("theme_high_app_rate_prior"))
     hhi = concentration(rows.where(high), keys, "responsible_ministry", "ministry_hhi")
-    joined = main.join(F.broadcast(priors), "theme_code").join(hhi, keys, "left")
+    joined = main.join(priors, "theme_code").join(hhi, keys, "left")
     total = F.when(F.col("high_app_budget_total") > 0, F.col("high_app_budget_total"))
     recent_rate, previous_rate = ratio("recent_high_app_project_count", "recent_project_count"), ratio("previous_high_app_project_count", "previous_project_count")
     return joined.select(
@@ -169,7 +169,7 @@ def service_cards(scored: DataFrame, n: int = 3) -> DataFrame:
 
 def representative_projects(long: DataFrame, pairs: DataFrame, n: int = 5) -> DataFrame:
     """High-applicability projects of the pairs by budget, each project under its first pair only."""
-    rows = long.where("is_high_app").join(F.broadcast(pairs.limit(10_000)), ["theme_code", "policy_domain"])
+    rows = long.where("is_high_app").join(pairs, ["theme_code", "policy_domain"])
     usable = F.when((F.col("budget") >= 0) & ~F.isnan("budget") & (F.abs("budget") < float("inf")), F.col("budget"))
     rows = rows.withColumn("_budget", usable)
     first = Window.partitionBy("project_key").orderBy("theme_code", "policy_domain")

@@ -149,7 +149,7 @@ def theme_cube(long: DataFrame) -> DataFrame:
 
 def year_theme_grid(long: DataFrame, themes: DataFrame) -> DataFrame:
     """Every year of the range for every given theme: counts 0 where nothing was, rate NULL."""
-    yearly = yearly_theme_metrics(long.join(F.broadcast(themes.limit(1000)), "theme_code", "left_semi"), ["theme_code"])
+    yearly = yearly_theme_metrics(long.join(themes, "theme_code", "left_semi"), ["theme_code"])
     span = long.agg(F.min("project_start_year").alias("lo"), F.max("project_start_year").alias("hi")).first()
     if span["lo"] is None:
         return yearly

@@ -124,7 +124,8 @@ def name_overlap(train: DataFrame, test: DataFrame, name: str, target: str) -> D
     a = per.agg(F.count("*").alias("train_names"), F.count_if(F.col("n") > 1).alias("repeated_names"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_with_repeated_names"), F.count_if(F.col("k") > 1).alias("conflicting_names"))
     seen = test.join(per.select(name, F.lit(1).alias("hit")), name, "left")
     b = seen.agg(F.count("*").alias("test_rows"), F.count("hit").alias("test_rows_seen"), F.count_distinct(F.when(F.col("hit").isNotNull(), F.col(name))).alias("shared_names"))
-    return a.join(b, how="inner")  # one row each
+    counted = a.first()
+    return b.select(*[F.lit(counted[c]).cast("long").alias(c) for c in a.columns], *b.columns)
 
 
 def frequency_of_frequency(df: DataFrame, column: str) -> DataFrame:

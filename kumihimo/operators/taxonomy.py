@@ -74,7 +74,7 @@ def distinct_projects(train: DataFrame, test: DataFrame, ministries: DataFrame)
     both = train.withColumn("source_split", F.lit("train")).unionByName(test.withColumn("source_split", F.lit("test")), allowMissingColumns=True)
     last = Window.partitionBy("source_split", "project_id").orderBy(F.col("row_id").desc())
     kept = both.where("project_id IS NOT NULL").withColumn("_at", F.row_number().over(last)).where("_at = 1").drop("_at")
-    joined = kept.join(F.broadcast(known.limit(10_000)), F.col("responsible_ministry") == F.col("_known"), "left")
+    joined = kept.join(known, F.col("responsible_ministry") == F.col("_known"), "left")
     return joined.withColumn("responsible_ministry", F.col("_known")).drop("_known")
 
 
