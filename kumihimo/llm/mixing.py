@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kumihimo.sources.shared import written
 
 BITS = 10  # a refinement splits a bucket into 2^10
+#: Targets, at most; tables of one row per target are broadcast.
+MOST_TARGETS = 10_000
 ROUNDS = 4  # 40 bits of hash: a bucket then holds about one record in 10^12
 
 
@@ -74,6 +76,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None) -> D
     one that isn't a target, or without tokens are not used; no record is used more than
     its source's max_repeats times. An empty table gives an empty mixture.
     """
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     targets = targets.withColumn("source", canonical_source("source"))
     sized = documents.withColumn("source", canonical_source("source")).where("n_tokens > 0 AND source IS NOT NULL")
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mixture")), 64 - BITS * ROUNDS)
