@@ -46,7 +46,7 @@ KANJI_TO_KANA = {"力": "カ", "工": "エ", "口": "ロ", "二": "ニ", "夕":
 KANA_TO_KANJI = {"カ": "力", "エ": "工", "ロ": "口", "ニ": "二", "ハ": "八"}
 HIRA_TO_KATA = {"べ": "ベ", "ぺ": "ペ"}
 # Kanji before which 一 or 二 after katakana is the numeral.
-COUNTED = "件元体時般定部度種号次回人年月日方番期者社億万千百十"
+COUNTED = "件元体時般定部度種号次回人年月日方番期者社億万千百十覧致括貫斉層助端律環歩連切緒旦両族様"
 
 _KK = "ァ-ヺー"
 _HAN = "一-鿿々"
