@@ -69,21 +69,24 @@ def range_of(value: Column, edges: Sequence[float], base: int = 0) -> Column:
     return F.when(value > edges[mid], range_of(value, edges[mid + 1 :], base + mid + 1)).otherwise(range_of(value, edges[:mid], base))
 
 
-def running_total(df: DataFrame, order: str, amount: str, out: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """``df`` (one row per value of ``order``) with the running total of ``amount``.
+def running_total(df: DataFrame, order: str, amount: str | Sequence[str], out: str | Sequence[str], by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """``df`` (one row per value of ``order``) with running totals of one or more amounts.
 
     Values are cut into ranges at approximate quantiles; totals of the ranges, of which there
     are ``buckets``, are summed first, then each range's rows on their own.
     """
+    amounts = [amount] if isinstance(amount, str) else list(amount)
+    outs = [out] if isinstance(out, str) else list(out)
     numeric = F.col(order).cast("double")
     cuts = df.agg(F.percentile_approx(numeric, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"] or []
     ranged = df.withColumn("_range", range_of(numeric, sorted(set(cuts))))
-    per = ranged.groupBy(*by, "_range").agg(F.sum(amount).alias("_sum"))
+    per = ranged.groupBy(*by, "_range").agg(*[F.sum(a).alias(f"_sum_{a}") for a in amounts])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    offsets = per.select(*by, "_range", *[F.coalesce(F.sum(f"_sum_{a}").over(before), F.lit(0)).alias(f"_offset_{a}") for a in amounts])
     inside = Window.partitionBy(*by, "_range").orderBy(order)
-    joined = ranged.join(F.broadcast(offsets), [*by, "_range"]) if not by else ranged.join(offsets, [*by, "_range"])
-    return joined.withColumn(out, F.col("_offset") + F.sum(amount).over(inside)).drop("_range", "_offset")
+    joined = ranged.join(F.broadcast(offsets), "_range") if not by else ranged.join(offsets, [*by, "_range"])
+    totals = joined.withColumns({o: F.col(f"_offset_{a}") + F.sum(a).over(inside) for a, o in zip(amounts, outs, strict=True)})
+    return totals.drop("_range", *[f"_offset_{a}" for a in amounts])
 
 
 def auc_by(df: DataFrame, score: str, target: str, keys: Sequence[str]) -> DataFrame:

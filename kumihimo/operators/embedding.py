@@ -45,7 +45,7 @@ def input_report(inputs: DataFrame) -> DataFrame:
     )
 
 
-def fixed_batches(inputs: DataFrame, size: int, buckets: int = 256) -> DataFrame:
+def fixed_batches(inputs: DataFrame, size: int, buckets: int = 64) -> DataFrame:
     """row_id, row_position, batch: positions in the order of the ids, ``size`` to a batch.
 
     Positions are numbered within ranges of ids and shifted by the ranges' sizes, of which

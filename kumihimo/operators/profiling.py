@@ -81,7 +81,7 @@ def ks_statistic(train: DataFrame, test: DataFrame, column: Column, name: str) -
     counts = both.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sizes = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m")).first()
     n, m = sizes["n"] or 0, sizes["m"] or 0
-    upto = running_total(running_total(counts, "v", "a", "ca"), "v", "b", "cb")
+    upto = running_total(counts, "v", ["a", "b"], ["ca", "cb"])
     distance = F.abs(ratio(F.col("ca"), F.lit(n)) - ratio(F.col("cb"), F.lit(m)))
     return upto.agg(F.lit(name).alias("column_name"), F.max(distance).alias("ks_statistic"), F.lit(n).cast("long").alias("n_train"), F.lit(m).cast("long").alias("n_test"))
 
