@@ -285,3 +285,12 @@ def missing_long(spark: SparkSession, base: str) -> DataFrame:
 def latest_delivery(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "train").where("project_id IS NOT NULL").select("project_id", "row_id", "load_id", "loaded_at")
     return f.last_per_group(rows, ["project_id"], [F.col("loaded_at").desc_nulls_last(), F.desc("row_id")]).drop("loaded_at")
+
+
+@query("event_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, base: str) -> DataFrame:
+    """The streaming aggregate of ``streaming.incremental``, over the table at rest."""
+    from kumihimo.streaming.incremental import windowed_events
+
+    per = windowed_events(table(spark, base, "events"))
+    return rounded(per.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", "value"), 4)

@@ -120,3 +120,15 @@ def test_suite_and_coefficients(spark):
     fitted = LogisticRegression(labelCol="y").fit(spark.createDataFrame([(Vectors.dense(1.0, 0.0), 1.0), (Vectors.dense(0.0, 1.0), 0.0)] * 5, ["features", "y"]))
     got = {r["feature"]: r["coefficient"] for r in models.top_coefficients(fitted, spark.createDataFrame([("a",), ("b",)], "term string"), 1).collect()}
     assert got["a"] > 0 > got["b"]
+
+
+def test_streamed_windows_match_the_batch(spark, tmp_path):
+    from kumihimo.streaming import incremental as inc
+
+    df = spark.range(200).select(F.timestamp_seconds(F.col("id") * 600 + 1_500_000_000).alias("ts"), F.concat(F.lit("t"), F.col("id") % 3).alias("event_type"), (F.col("id") * 1.0).alias("value"))
+    df.repartition(2).write.parquet(str(tmp_path / "events"))
+    stream = inc.windowed_events(inc.arriving(spark, str(tmp_path / "events"), df.schema))
+    q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("windows").select("window.start", "event_type", "n", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, inc.windowed_events(df).select("window.start", "event_type", "n", "value").collect()))
