@@ -67,3 +67,15 @@ def test_components(spark):
     star = spark.createDataFrame([(0, i) for i in range(1, 500)], "a long, b long")
     assert {r["component"] for r in connected_components(star, "a", "b").collect()} == {0}
     assert connected_components(star.where("false"), "a", "b").count() == 0
+
+
+def test_large_groups_are_taken_apart(spark):
+    from kumihimo.operators.skew import large_groups, with_group_values
+
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 50}") for i in range(600)], "id long, k string")
+    values = {"n": F.count("*"), "least": F.min("id")}
+    plain = with_group_values(df, ["k"], values, "id")
+    apart = with_group_values(df, ["k"], values, "id", part=1, least=100)
+    assert large_groups(df, ["k"], "id") is None and large_groups(df, ["k"], "id", 1, 100).count() == 1
+    columns = ["id", "k", "n", "least"]
+    assert sorted(map(tuple, plain.select(*columns).collect())) == sorted(map(tuple, apart.select(*columns).collect()))
