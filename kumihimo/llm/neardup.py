@@ -20,9 +20,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kumihimo.operators.components import connected_components
+from kumihimo.operators.skew import with_group_values
 from kumihimo.sources.shared import written
 
 SEGMENTS = 8
@@ -116,8 +117,7 @@ def candidate_pairs(reps: DataFrame, hot: int = HOT, similarity: float = THRESHO
     there are joined with all members, so no two groups that a link would join stay apart.
     """
     indexed = reps.select("row_id", F.explode(variant_keys([f"seg_{i}" for i in range(SEGMENTS)])).alias("variant"))
-    w = Window.partitionBy("variant")
-    shared = indexed.select("row_id", "variant", F.count("*").over(w).alias("n"), F.min("row_id").over(w).alias("center")).where("n > 1")
+    shared = with_group_values(indexed, ["variant"], {"n": F.count("*"), "center": F.min("row_id")}, "row_id").where("n > 1")
     shared = written(shared)
     cold = shared.where(F.col("n") <= hot).select("row_id", "variant")
     a, b = cold.withColumnRenamed("row_id", "a"), cold.withColumnRenamed("row_id", "b")
@@ -150,9 +150,9 @@ def near_duplicate_groups(df: DataFrame, id_column: str, columns: Sequence[str],
     without text, or alone, have no row; ids are taken to be unique.
     """
     sigs = written(signatures(df, id_column, columns, required))
-    w = Window.partitionBy("fp_a", "fp_b")
-    member = sigs.select("row_id", F.min("row_id").over(w).alias("rep"), F.count("*").over(w).alias("copies"))
-    member = written(member.where("copies > 1"))
+    prints = sigs.select("row_id", "fp_a", "fp_b")
+    member = with_group_values(prints, ["fp_a", "fp_b"], {"rep": F.min("row_id"), "copies": F.count("*")}, "row_id")
+    member = written(member.where("copies > 1").select("row_id", "rep", "copies"))
     reps = sigs.join(member.where("row_id <> rep").select("row_id"), "row_id", "left_anti")
     links = written(candidate_pairs(reps, hot, similarity))
     groups = connected_components(links, "a", "b")
