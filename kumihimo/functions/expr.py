@@ -97,8 +97,8 @@ def auc_by(df: DataFrame, score: str, target: str, keys: Sequence[str]) -> DataF
     """
     known = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     counts = known.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(F.col(target).cast("long")).alias("_pos"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_rank", F.sum("_n").over(below) - (F.col("_n") - 1) / 2)
+    counts = running_total(counts, score, "_n", "_upto", keys)
+    counts = counts.withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2)
     per = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("n_positive"), F.sum(F.col("_pos") * F.col("_rank")).alias("_ranks"))
     negatives = F.col("n") - F.col("n_positive")
     auc = F.try_divide(F.col("_ranks") - F.col("n_positive") * (F.col("n_positive") + 1) / 2, (F.col("n_positive") * negatives).cast("double"))

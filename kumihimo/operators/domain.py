@@ -64,15 +64,17 @@ def domain_metrics(long: DataFrame, themes: Sequence[str], recent_years: int = 2
     high, year = F.col("is_high_app"), F.col("project_start_year")
     recent, previous = year >= recent_start, (year >= previous_start) & (year < recent_start)
     budget = F.when(high & (F.col("budget") >= 0) & ~F.isnan("budget") & (F.abs("budget") < float("inf")), F.col("budget"))
-    top = Window.partitionBy(*keys).orderBy(budget.desc_nulls_last(), "project_key")
-    ranked = rows.withColumn("_at", F.row_number().over(top)).withColumn("_budget", budget)
-    main = ranked.groupBy(*keys).agg(
+    top = Window.partitionBy(*keys).orderBy(F.desc("_budget"), "project_key")
+    with_budget = rows.withColumn("_budget", budget)
+    # a filter on the row number is applied before the shuffle too, so no group is gathered
+    top3 = with_budget.where("_budget IS NOT NULL").withColumn("_at", F.row_number().over(top)).where("_at <= 3").groupBy(*keys).agg(F.sum("_budget").alias("_top3"))
+    main = with_budget.groupBy(*keys).agg(
         F.first("admin_process").alias("admin_process"), F.first("ai_usecase").alias("ai_usecase"),
         F.count("*").alias("project_count"), F.count_if(high).alias("high_app_project_count"),
         F.count_if(high & F.col("responsible_ministry").isNull()).alias("_no_ministry"),
         F.count_distinct(F.when(high, F.col("responsible_ministry"))).alias("ministry_breadth"),
         F.sum("_budget").alias("high_app_budget_total"), F.median("_budget").alias("high_app_budget_median"), F.count("_budget").alias("_with_budget"),
-        F.sum(F.col("_budget") * F.col("_budget")).alias("_squares"), F.sum(F.when(F.col("_at") <= 3, F.col("_budget"))).alias("_top3"),
+        F.sum(F.col("_budget") * F.col("_budget")).alias("_squares"),
         F.avg(has_text("current_issues").cast("int")).alias("issue_coverage_rate"),
         F.count_if(recent).alias("recent_project_count"), F.count_if(recent & high).alias("recent_high_app_project_count"),
         F.count_if(previous).alias("previous_project_count"), F.count_if(previous & high).alias("previous_high_app_project_count"),
@@ -80,7 +82,7 @@ def domain_metrics(long: DataFrame, themes: Sequence[str], recent_years: int = 2
     )
     priors = rows.groupBy("theme_code").agg(F.avg(high.cast("int")).alias("theme_high_app_rate_prior"))
     hhi = concentration(rows.where(high), keys, "responsible_ministry", "ministry_hhi")
-    joined = main.join(priors, "theme_code").join(hhi, keys, "left")
+    joined = main.join(priors, "theme_code").join(hhi, keys, "left").join(top3, keys, "left")
     total = F.when(F.col("high_app_budget_total") > 0, F.col("high_app_budget_total"))
     recent_rate, previous_rate = ratio("recent_high_app_project_count", "recent_project_count"), ratio("previous_high_app_project_count", "previous_project_count")
     return joined.select(
