@@ -9,13 +9,14 @@ from kumihimo.operators import embedding as emb, ensemble as en, folds as f, mod
 from kumihimo.plans.market import rounded
 from kumihimo.plans.profiling import SCORED, labelled, scored
 from kumihimo.plans.registry import query
+from kumihimo.plans.textual import TEXTS
 from kumihimo.sources.shared import table, written
 
 NUMERIC = ["budget", "project_start_year", "project_fiscal_year"]
 
 
-def model_rows(spark: SparkSession, base: str, split: str = "train", embed: bool = True) -> DataFrame:
-    """Rows with target, tabular features, name and a vector by the offline embedder."""
+def model_rows(spark: SparkSession, base: str, split: str = "train", embed: bool = True, texts: bool = False) -> DataFrame:
+    """Rows with target, tabular features, a vector by the offline embedder and, if asked for, the texts."""
     rows = labelled(spark, base) if split == "train" else table(spark, base, split)
     usable = rows.withColumn("budget", F.when(~F.isnan("budget") & (F.abs("budget") < 1e7), F.col("budget")))
     usable = usable.withColumn("project_start_year", F.when(F.col("project_start_year").rlike("^(19[5-9][0-9]|20[0-2][0-9]|2030)\\z"), F.col("project_start_year")))
@@ -23,7 +24,7 @@ def model_rows(spark: SparkSession, base: str, split: str = "train", embed: bool
     known = table(spark, base, "bureaus").select(F.col("ministry_name").alias("_known")).distinct()
     usable = usable.join(known, F.col("responsible_ministry") == F.col("_known"), "left").withColumn("responsible_ministry", F.col("_known"))
     features = tabular.stateless_features(usable, "row_id", NUMERIC, ["responsible_ministry"])
-    keep = ["row_id", "project_name", *(["target"] if split == "train" else [])]
+    keep = ["row_id", *(TEXTS if texts else []), *(["target"] if split == "train" else [])]
     out = features.join(usable.select(*keep), "row_id")
     if embed:
         todo = emb.prepared_inputs(rows, "row_id", ["project_name", "project_summary"], 2000)
@@ -33,9 +34,9 @@ def model_rows(spark: SparkSession, base: str, split: str = "train", embed: bool
 
 def oof(spark: SparkSession, base: str, experiment: str) -> DataFrame:
     groups, _ = models.EXPERIMENTS[experiment]
-    rows = model_rows(spark, base, embed="embedding" in groups)
+    rows = model_rows(spark, base, embed="embedding" in groups, texts="tfidf" in groups or "svd" in groups)
     folds = f.time_folds(labelled(spark, base), "row_id", "year")
-    return models.run_experiment(rows, folds, experiment, "project_name")
+    return models.run_experiment(rows, folds, experiment, TEXTS)
 
 
 @query("embedding_lr_oof")
@@ -71,7 +72,7 @@ def svd_gbt_oof(spark: SparkSession, base: str) -> DataFrame:
 @query("test_predictions")
 def test_predictions(spark: SparkSession, base: str) -> DataFrame:
     """Predictions for test by a logistic regression on all labelled rows."""
-    return models.fit_predict(model_rows(spark, base), model_rows(spark, base, "test"), "E2_embedding_tabular_lr", "project_name")
+    return models.fit_predict(model_rows(spark, base), model_rows(spark, base, "test"), "E2_embedding_tabular_lr")
 
 
 @query("embedding_pca")

@@ -132,3 +132,26 @@ def test_streamed_windows_match_the_batch(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("windows").select("window.start", "event_type", "n", "value").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, inc.windowed_events(df).select("window.start", "event_type", "n", "value").collect()))
+
+
+def test_every_text_column_has_its_own_terms(spark):
+    rows = [(i, float(i % 2), "train" if i < 30 else "valid", "同じ名前", f"{'甲' if i % 2 else '乙'}の課題を改める") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, target double, role string, name string, issues string")
+    one, width = models.fold_features(df, ("tfidf",), "name")
+    both, more = models.fold_features(df, ("tfidf",), ["name", "issues"])
+    assert width == 6 and more > width  # 4 characters have three 2-grams, two 3-grams and one 4-gram
+    assert len({str(r["features"]) for r in one.collect()}) == 1 and len({str(r["features"]) for r in both.collect()}) == 2
+    svd, k = models.fold_features(df, ("svd",), ["name", "issues"])
+    assert {r["features"].size for r in svd.collect()} == {k}
+
+
+def test_text_queries_read_all_columns(spark, monkeypatch):
+    from kumihimo.plans import modelling
+
+    seen = {}
+    monkeypatch.setattr(modelling, "labelled", lambda *a: None)
+    monkeypatch.setattr(modelling, "model_rows", lambda *a, **kw: seen.update(kw))
+    monkeypatch.setattr(modelling.f, "time_folds", lambda *a: None)
+    monkeypatch.setattr(models, "run_experiment", lambda rows, folds, experiment, text: seen.update({experiment: list(text)}))
+    modelling.tfidf_lr_oof(spark, "")
+    assert seen["texts"] and len(seen["T1_tfidf_lr"]) == 4
