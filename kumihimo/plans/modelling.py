@@ -23,11 +23,11 @@ def model_rows(spark: SparkSession, base: str, split: str = "train", embed: bool
     usable = usable.withColumn("project_end_year", F.when(F.col("project_end_year").rlike("^(19[5-9][0-9]|20[0-2][0-9]|2030)\\z"), F.col("project_end_year")))
     known = table(spark, base, "bureaus").select(F.col("ministry_name").alias("_known")).distinct()
     usable = usable.join(known, F.col("responsible_ministry") == F.col("_known"), "left").withColumn("responsible_ministry", F.col("_known"))
-    features = tabular.stateless_features(usable, "row_id", NUMERIC, ["responsible_ministry"])
+    features = tabular.stateless_features(usable, "row_id", NUMERIC, ["responsible_ministry"], TEXTS)
     keep = ["row_id", *(TEXTS if texts else []), *(["target"] if split == "train" else [])]
     out = features.join(usable.select(*keep), "row_id")
     if embed:
-        todo = emb.prepared_inputs(rows, "row_id", ["project_name", "project_summary"], 2000)
+        todo = emb.prepared_inputs(rows, "row_id", TEXTS, 8000)
         out = out.join(emb.generate(todo, None, emb.hashing_embedder(32)).select("row_id", "embedding"), "row_id")
     return written(out)
 

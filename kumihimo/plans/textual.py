@@ -146,7 +146,7 @@ def distinctive_ngrams(spark: SparkSession, base: str) -> DataFrame:
 @query("resumable_embeddings")
 def resumable_embeddings(spark: SparkSession, base: str) -> DataFrame:
     """A first run that got as far as the shorter inputs, and the run that resumes it."""
-    todo = emb.prepared_inputs(table(spark, base, "train"), "row_id", ["project_name", "project_summary"], 2000)
+    todo = emb.prepared_inputs(table(spark, base, "train"), "row_id", TEXTS, 8000)
     make = emb.hashing_embedder(32)
     done = written(emb.generate(todo.where("character_count < 300"), None, make))
     return done.unionByName(emb.generate(todo, done, make))

@@ -155,3 +155,19 @@ def test_text_queries_read_all_columns(spark, monkeypatch):
     monkeypatch.setattr(models, "run_experiment", lambda rows, folds, experiment, text: seen.update({experiment: list(text)}))
     modelling.tfidf_lr_oof(spark, "")
     assert seen["texts"] and len(seen["T1_tfidf_lr"]) == 4
+
+
+def test_rows_that_differ_in_any_text_have_other_features(spark, monkeypatch):
+    from kumihimo.plans import modelling, textual
+
+    texts = ["project_name", "project_objective", "project_summary", "current_issues"]
+    rows = [(i, *["同じ文" if c != i else "別の文" + "甲乙丙丁"[c] * 3 for c in range(4)], 1.0, "2020", "2021", 2020, "省", 0) for i in range(5)]
+    train = spark.createDataFrame(rows, f"row_id long, {', '.join(f'{c} string' for c in texts)}, budget double, project_start_year string, project_end_year string, project_fiscal_year int, responsible_ministry string, target int")
+    tables = {"train": train, "bureaus": spark.createDataFrame([("省",)], "ministry_name string")}
+    for module in (modelling, textual):
+        monkeypatch.setattr(module, "table", lambda spark, base, name: tables[name])
+    monkeypatch.setattr(modelling, "labelled", lambda spark, base: train)
+    got = modelling.model_rows(spark, "").collect()
+    assert len({tuple(r["embedding"]) for r in got}) == 5
+    assert all(f"{c}__char_count" in got[0].asDict() for c in texts) and "text__total_char_count" in got[0].asDict()
+    assert len({r["text_hash"] for r in textual.resumable_embeddings(spark, "").collect()}) == 5
