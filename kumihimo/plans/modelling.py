@@ -135,7 +135,7 @@ def shared_rows(spark: SparkSession, base: str) -> DataFrame:
 @query("hill_climb")
 def hill_climb(spark: SparkSession, base: str) -> DataFrame:
     """Steps of the greedy blend, and the weights it ends with."""
-    result = en.hill_climb(shared_rows(spark, base), ["model_a", "model_b"], "target", "validation_year", max_steps=5)
+    result = en.hill_climb(shared_rows(spark, base), ["model_a", "model_b"], "target", "validation_year")
     rows = [(s, m, a, v, result.weights[m]) for s, m, a, v in result.history]
     return spark.createDataFrame(rows, "step int, added_model string, alpha double, score double, final_weight double")
 

@@ -171,3 +171,19 @@ def test_rows_that_differ_in_any_text_have_other_features(spark, monkeypatch):
     assert len({tuple(r["embedding"]) for r in got}) == 5
     assert all(f"{c}__char_count" in got[0].asDict() for c in texts) and "text__total_char_count" in got[0].asDict()
     assert len({r["text_hash"] for r in textual.resumable_embeddings(spark, "").collect()}) == 5
+
+
+def test_hill_climb_query_has_the_usual_number_of_steps(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kumihimo.plans import modelling
+
+    steps = []
+
+    def climb(oof, names, target, fold, max_steps=50, **_):
+        steps.append(max_steps)
+        return SimpleNamespace(history=[(0, "model_a", 1.0, 0.5)], weights={"model_a": 1.0})
+
+    monkeypatch.setattr(modelling, "shared_rows", lambda *a: None)
+    monkeypatch.setattr(modelling.en, "hill_climb", climb)
+    assert modelling.hill_climb(spark, "").count() == 1 and steps == [50]
