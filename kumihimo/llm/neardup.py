@@ -1,20 +1,21 @@
 """Near-duplicate records with small edits (problem 3), by deletion-variant signatures.
 
-Each text gets a one-permutation minhash of its character 2-grams. One bit of each register
-makes a binary signature, cut into ``SEGMENTS`` segments: two signatures that differ in at
-most ``2 * SEGMENTS - 1`` bits have a segment that differs in at most one bit. A segment of
-32 bits is indexed under its variants with one hexadecimal digit replaced by a wildcard;
-segments that differ in one bit share the variant whose wildcard covers it, so an equality
-join finds them. Partners are then verified on the registers of a second minhash, of longer
-grams, and the links joined into groups.
-
-Cost: one pass over the texts; ``8 * SEGMENTS`` index rows of 16 bytes for each distinct
-text, moved once; everything after that handles only texts that share a variant. Equal
-folded texts are represented by one of them throughout.
+A text is cut into units: its sentences, and where there are no stop marks, pieces between
+local minima of a hash, which edits elsewhere don't move. Each unit gets ``SEGMENTS`` segments
+of twelve minhash digits over its character 2-grams; all segments together are the text's
+signature. Two texts that share well over half of their wording, in whatever order, agree in
+some segment up to one place. Each segment is indexed under its variants with one place (three
+digits) replaced by a wildcard, so an equality join finds them. Partners are then verified on
+minhash registers of 5-grams of the whole texts, and the links joined into groups.
+
+Cost: one pass over the texts; ``4 * SEGMENTS`` index rows of 17 bytes for each unit of each
+distinct text, moved once; everything after that handles only texts that share a variant.
+Equal folded texts are represented by one of them throughout.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -26,31 +27,80 @@ from kumihimo.operators.components import connected_components
 from kumihimo.operators.skew import with_group_values
 from kumihimo.sources.shared import written
 
-SEGMENTS = 8
-DIGITS = 8  # hexadecimal digits of a segment
-REGISTERS = 32 * SEGMENTS
+#: Segments of a unit, each of PLACES places that a wildcard may stand for, of DIGITS digits of 5 bits.
+SEGMENTS = 2
+PLACES, DIGITS = 4, 3
 GRAM = 2
+#: Folded characters from which a unit is indexed by itself; a text without any is one unit.
+LEAST = 8
+#: A longer unit is cut at local minima of a hash among so many characters on either side.
+LONG, REACH = 80, 16
 #: Partners are verified on longer grams, which tell long texts of one vocabulary apart.
 CHECK_GRAM = 5
 CHECK_REGISTERS = 112
 #: Estimated Jaccard similarity of 5-grams from which two texts are one; texts that share
 #: well over half of their wording stand above 0.65, others below 0.35.
 THRESHOLD = 0.5
-#: A variant shared by more texts than this is linked through its first text.
+#: A variant shared by more texts than this is linked through one of them first.
 HOT = 256
+#: Texts meet in such variants if these have at least this share of their index rows.
+HOT_SHARE = 0.3
+#: Blocks into which the members of a very common variant are dealt.
+BLOCKS = 16
+
+RE_STOPS = re.compile(r"[。｡．！？!?\r\n]+")
 
 _SCHEMA = T.StructType(
-    [T.StructField("row_id", T.LongType()), T.StructField("fp_a", T.LongType()), T.StructField("fp_b", T.LongType())]
-    + [T.StructField(f"seg_{i}", T.LongType()) for i in range(SEGMENTS)]
-    + [T.StructField("sketch", T.BinaryType())]
+    [
+        T.StructField("row_id", T.LongType()),
+        T.StructField("fp_a", T.LongType()),
+        T.StructField("fp_b", T.LongType()),
+        T.StructField("segments", T.ArrayType(T.LongType())),
+        T.StructField("weights", T.ArrayType(T.ByteType())),
+        T.StructField("sketch", T.BinaryType()),
+    ]
 )
 
 
+def unit_starts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the units begin: ``starts`` (of sentences), and cuts within long ones."""
+    long = np.flatnonzero(np.diff(starts) > LONG)
+    if not len(long):
+        return starts
+    from kumihimo.llm.batches import mix
+
+    wide = codes.astype(np.uint64)
+    h = mix(wide[:-1] * np.uint64(0x100000001B3) + wide[1:] + np.uint64(7))
+    padded = np.concatenate([np.full(REACH, 2**64 - 1, np.uint64), h, np.full(REACH, 2**64 - 1, np.uint64)])
+    least = padded
+    for step in (1, 2, 4, 8, 16):  # the least of 32 from each place on
+        least = np.minimum(least[:-step], least[step:])
+    least = np.minimum(least[:-1], padded[32:])[: len(h)]  # of 33: REACH on both sides
+    cuts = np.flatnonzero(h == least)
+    unit = np.searchsorted(starts, cuts, side="right") - 1
+    inside = np.isin(unit, long) & (cuts - starts[unit] >= LEAST) & (starts[unit + 1] - cuts >= LEAST)
+    return np.union1d(starts, cuts[inside])
+
+
+def unit_segments(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A row of SEGMENTS numbers of 60 bits for each run of grams; runs are not empty."""
+    out = np.zeros((len(begins), SEGMENTS), dtype=np.int64)
+    if len(begins):
+        rng = np.random.default_rng(20)  # fixed odd multipliers
+        for s in range(SEGMENTS):
+            for d in range(PLACES * DIGITS):
+                factor = np.uint64(int(rng.integers(0, 2**63)) * 2 + 1)
+                least = np.minimum.reduceat(hashes * factor, begins)
+                out[:, s] |= ((least >> np.uint64(24)) & np.uint64(31)).astype(np.int64) << (5 * d)
+    return out
+
+
 def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
-    """row_id, 128-bit fingerprint, signature segments and register bytes of each text.
+    """row_id, 128-bit fingerprint, segments of all units, their weights, register bytes.
 
     The columns are read as one text, a null as nothing. Rows whose ``required`` columns are
-    null, and rows without any letter or digit, have no signature and so no partner.
+    null, and rows without any letter or digit, have no signature and so no partner. A
+    weight is a unit's share of the text, in 1/120.
     """
     names = list(columns)
 
@@ -61,35 +111,61 @@ def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required:
             cells = [batch.column(i + 1).to_pylist() for i in range(len(names))]
             for lo in range(0, batch.num_rows, 2048):
                 part = [c[lo : lo + 2048] for c in cells]
-                texts = ["\n".join(t for t in row if t) for row in zip(*part)]
-                codes, starts = folded(texts)
-                # texts shorter than a gram are told apart by their fingerprint alone
-                hashes, at = gram_hashes(codes, starts, GRAM)
-                reg = minhash_registers(hashes, owners(at, starts), len(texts), REGISTERS)
-                bits = ((reg >> np.uint64(17)) & np.uint64(1)).astype(np.uint64).reshape(len(texts), SEGMENTS, 32)
-                segs = (bits << np.arange(32, dtype=np.uint64)).sum(axis=2).astype(np.int64)
-                hashes, at = gram_hashes(codes, starts, CHECK_GRAM)
-                check = minhash_registers(hashes, owners(at, starts), len(texts), CHECK_REGISTERS)
+                sentences = [RE_STOPS.split("\n".join(t for t in row if t)) for row in zip(*part)]
+                n = len(sentences)
+                codes, at_sentence = folded([s for text in sentences for s in text])
+                first = np.zeros(n + 1, dtype=np.int64)
+                first[1:] = np.cumsum([len(text) for text in sentences])
+                starts = at_sentence[first]
                 fp = fingerprints(codes, starts)
                 keep = np.flatnonzero(np.diff(starts) > 0)
-                arrays = [batch.column(0).slice(lo, len(texts)).take(pa.array(keep)), pa.array(fp[keep, 0]), pa.array(fp[keep, 1])]
-                arrays += [pa.array(segs[keep, i]) for i in range(SEGMENTS)]
-                arrays.append(binary_column((check[keep] & np.uint64(0xFF)).astype(np.uint8)))
-                yield pa.RecordBatch.from_arrays(arrays, names=_SCHEMA.fieldNames())
+                # units: those long enough, or the whole text if none is
+                begins = unit_starts(codes, np.unique(at_sentence))
+                sizes = np.diff(begins)
+                doc = owners(begins[:-1], starts)
+                ok = sizes >= LEAST
+                hashes, at = gram_hashes(codes, begins, GRAM)
+                run_of = owners(at, begins)
+                with_grams, run_at = np.unique(run_of, return_index=True)
+                seg = unit_segments(hashes, run_at)
+                good = ok[with_grams]
+                seg, doc_of, size = seg[good], doc[with_grams[good]], sizes[with_grams[good]]
+                small = np.ones(n, dtype=bool)
+                small[doc_of] = False
+                gram_doc = doc[run_of] if len(run_of) else run_of
+                rest = np.flatnonzero(small[gram_doc]) if len(run_of) else run_of
+                small_docs, small_at = np.unique(gram_doc[rest], return_index=True)
+                seg = np.concatenate([seg, unit_segments(hashes[rest], small_at)])
+                doc_of = np.concatenate([doc_of, small_docs])
+                size = np.concatenate([size, np.diff(starts)[small_docs]])
+                order = np.argsort(doc_of, kind="stable")
+                seg, doc_of, size = seg[order], doc_of[order], size[order]
+                weight = np.maximum(1, size * 120 // np.maximum(1, np.diff(starts)[doc_of])).astype(np.int8)
+                ends = np.searchsorted(doc_of, np.arange(n + 1))
+                segments = pa.ListArray.from_arrays(pa.array(ends * SEGMENTS, pa.int32()), pa.array(seg.reshape(-1)))
+                weights = pa.ListArray.from_arrays(pa.array(ends * SEGMENTS, pa.int32()), pa.array(np.repeat(weight, SEGMENTS)))
+                hashes, at = gram_hashes(codes, starts, CHECK_GRAM)
+                check = minhash_registers(hashes, owners(at, starts), n, CHECK_REGISTERS)
+                sketch = binary_column((check & np.uint64(0xFF)).astype(np.uint8))
+                taken = pa.array(keep)
+                arrays = [batch.column(0).slice(lo, n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), segments, weights, sketch]
+                yield pa.RecordBatch.from_arrays([x.take(taken) for x in arrays], names=_SCHEMA.fieldNames())
 
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.trim(F.col(c)) != "") for c in required], F.lit(True))
     picked = df.where(ok).select(F.col(id_column).cast("long"), *[F.col(c).cast("string") for c in names])
     return picked.mapInArrow(run, _SCHEMA)
 
 
-def variant_keys(segments: Sequence[str]) -> F.Column:
-    """Array of the one-wildcard variants of all segments: segment, wildcard, other digits."""
-    keys = []
-    for s, name in enumerate(segments):
-        for d in range(DIGITS):
-            kept = 0xFFFFFFFF & ~(0xF << (4 * d))
-            keys.append(F.col(name).bitwiseAND(F.lit(kept)).bitwiseOR(F.lit((s * DIGITS + d) << 32)))
-    return F.array(*keys)
+def index_rows(reps: DataFrame) -> DataFrame:
+    """row_id, weight, variant: each segment under its one-wildcard variants."""
+    flat = reps.select("row_id", F.posexplode(F.arrays_zip("segments", "weights")).alias("at", "s"))
+    flat = flat.select("row_id", F.pmod("at", F.lit(SEGMENTS)).cast("long").alias("which"), F.col("s.segments").alias("segment"), F.col("s.weights").alias("weight"))
+    bits = 5 * DIGITS
+    variants = []
+    for p in range(PLACES):
+        kept = ((1 << (bits * PLACES)) - 1) & ~(((1 << bits) - 1) << (bits * p))
+        variants.append(F.col("segment").bitwiseAND(F.lit(kept)).bitwiseOR(F.shiftleft(F.col("which") * PLACES + p, 60)))
+    return flat.select("row_id", "weight", F.explode(F.array(*variants)).alias("variant"))
 
 
 def register_similarity(a: str, b: str) -> F.Column:
@@ -109,29 +185,40 @@ def register_similarity(a: str, b: str) -> F.Column:
     return similar(F.col(a), F.col(b))
 
 
-def candidate_pairs(reps: DataFrame, hot: int = HOT, similarity: float = THRESHOLD) -> DataFrame:
-    """Verified links a < b between distinct texts that share a variant.
+def group_links(reps: DataFrame, hot: int = HOT, similarity: float = THRESHOLD) -> DataFrame:
+    """Verified links a < b between distinct texts, enough of them to connect every group.
 
-    A variant shared by more than ``hot`` texts is not expanded into all its pairs: every
-    member is first verified against the variant's least id, and only members that fail
-    there are joined with all members, so no two groups that a link would join stay apart.
+    A variant shared by at most ``hot`` texts gives all its pairs. In a more common one, a
+    text takes part if such variants make up ``HOT_SHARE`` of its index rows: texts that
+    share over half, and less than that in common variants, share others too. Its members
+    are linked with the least one first; then every member that is not in the component of
+    most is tried against all members outside its own component, in blocks. Links left out
+    thereby join texts that are connected anyway, so groups don't depend on ``hot``.
     """
-    indexed = reps.select("row_id", F.explode(variant_keys([f"seg_{i}" for i in range(SEGMENTS)])).alias("variant"))
-    shared = with_group_values(indexed, ["variant"], {"n": F.count("*"), "center": F.min("row_id")}, "row_id").where("n > 1")
-    shared = written(shared)
+    indexed = index_rows(reps)
+    shared = written(with_group_values(indexed, ["variant"], {"n": F.count("*")}, "row_id").where("n > 1"))
     cold = shared.where(F.col("n") <= hot).select("row_id", "variant")
     a, b = cold.withColumnRenamed("row_id", "a"), cold.withColumnRenamed("row_id", "b")
-    pairs = a.join(b, "variant").where("a < b").select("a", "b").distinct()
-    links = verified(pairs, reps, similarity)
-    if shared.where(F.col("n") > hot).isEmpty():
+    links = verified(a.join(b, "variant").where("a < b").select("a", "b").distinct(), reps, similarity)
+    common = shared.where(F.col("n") > hot)
+    if common.isEmpty():
+        return links
+    share = common.groupBy("row_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= HOT_SHARE * 120 * PLACES * SEGMENTS)
+    warm = written(common.join(share.select("row_id"), "row_id").select("row_id", "variant").distinct())
+    center = warm.groupBy("variant").agg(F.min("row_id").alias("a"))
+    star = warm.join(center, "variant").where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct()
+    links = written(links.unionByName(verified(star, reps, similarity)).distinct())
+    known = connected_components(links, "a", "b").withColumnRenamed("node", "row_id")
+    placed = written(warm.join(known, "row_id", "left").select("row_id", "variant", F.coalesce("component", "row_id").alias("component")))
+    sizes = placed.groupBy("variant", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("variant").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
+    odd = placed.join(most, "variant").where("component <> most")
+    if odd.isEmpty():
         return links
-    warm = shared.where(F.col("n") > hot)
-    star = warm.where("row_id <> center").select(F.col("center").alias("a"), F.col("row_id").alias("b")).distinct()
-    star_links = written(verified(star, reps, similarity))
-    failed = warm.where("row_id <> center").join(star_links.select(F.col("a").alias("center"), F.col("b").alias("row_id")), ["center", "row_id"], "left_anti")
-    rest = failed.select(F.col("row_id").alias("x"), "variant").join(warm.select(F.col("row_id").alias("y"), "variant"), "variant").where("x <> y")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return links.unionByName(star_links).unionByName(verified(rest, reps, similarity)).distinct()
+    x = odd.select("variant", F.col("row_id").alias("x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    y = placed.select("variant", F.col("row_id").alias("y"), F.col("component").alias("cy"), F.pmod(F.xxhash64("row_id"), F.lit(BLOCKS)).cast("int").alias("block"))
+    rest = x.join(y, ["variant", "block"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return links.unionByName(verified(rest, reps, similarity))
 
 
 def verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -143,25 +230,21 @@ def verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicate_groups(df: DataFrame, id_column: str, columns: Sequence[str], required: Sequence[str] = (), hot: int = HOT, similarity: float = THRESHOLD) -> DataFrame:
-    """One row for every row that has a near-duplicate: row_id, group_id, n_links.
+    """One row for every row that has a near-duplicate: row_id, group_id.
 
-    ``group_id`` is the least row id of the group, ``n_links`` the number of links between
-    different texts that the row's text has (0 where all partners are exact copies). Rows
-    without text, or alone, have no row; ids are taken to be unique.
+    ``group_id`` is the least row id of the group's texts. Rows without text, or alone, have
+    no row; copies of one text are a group; ids are taken to be unique; an empty table gives
+    an empty one. ``hot`` changes the plan, not the groups.
     """
     sigs = written(signatures(df, id_column, columns, required))
     prints = sigs.select("row_id", "fp_a", "fp_b")
     member = with_group_values(prints, ["fp_a", "fp_b"], {"rep": F.min("row_id"), "copies": F.count("*")}, "row_id")
     member = written(member.where("copies > 1").select("row_id", "rep", "copies"))
     reps = sigs.join(member.where("row_id <> rep").select("row_id"), "row_id", "left_anti")
-    links = written(candidate_pairs(reps, hot, similarity))
-    groups = connected_components(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    grouped = groups.join(degree, "node").select(F.col("node").alias("rep"), "component", "n_links")
-    copies = member.join(grouped, "rep", "left").select(
-        "row_id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    single = grouped.join(member.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("row_id"), F.col("component").alias("group_id"), "n_links")
+    links = written(group_links(reps, hot, similarity))
+    groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    copies = member.join(groups, "rep", "left").select("row_id", F.coalesce("component", "rep").alias("group_id"))
+    single = groups.join(member.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("row_id"), F.col("component").alias("group_id"))
     return copies.unionByName(single)
 
 
