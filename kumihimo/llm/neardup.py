@@ -1,16 +1,20 @@
 """Near-duplicate records with small edits (problem 3), by deletion-variant signatures.
 
 A text is cut into units: its sentences, and where there are no stop marks, pieces between
-local minima of a hash, which edits elsewhere don't move. Each unit gets ``SEGMENTS`` segments
-of twelve minhash digits over its character 2-grams; all segments together are the text's
-signature. Two texts that share well over half of their wording, in whatever order, agree in
-some segment up to one place. Each segment is indexed under its variants with one place (three
-digits) replaced by a wildcard, so an equality join finds them. Partners are then verified on
-minhash registers of 5-grams of the whole texts, and the links joined into groups.
-
-Cost: one pass over the texts; ``4 * SEGMENTS`` index rows of 17 bytes for each unit of each
-distinct text, moved once; everything after that handles only texts that share a variant.
-Equal folded texts are represented by one of them throughout.
+local minima of a hash, which edits elsewhere don't move. Units are put in the order of a hash
+of their content, whatever their order in the text, and every two neighbours of this order give
+a segment of ten minhash digits over their character 2-grams. All segments together are the
+text's signature. Two texts that share well over half of their wording agree in some segment up
+to one place. Each segment is indexed under its variants with one place (two digits) replaced
+by a wildcard, so an equality join finds them. Partners are then verified on minhash registers
+of 5-grams of the whole texts, and the links joined into groups.
+
+Single sentences would meet far more texts that share no more than a sentence of a common
+pattern; two together are rarely shared by chance, and neighbours by content survive moves.
+
+Cost: one pass over the texts; ``PLACES`` index rows of 17 bytes for each unit of each distinct
+text, moved once; everything after that handles only texts that share a variant. Equal folded
+texts are represented by one of them throughout.
 """
 
 from __future__ import annotations
@@ -27,14 +31,13 @@ from kumihimo.operators.components import connected_components
 from kumihimo.operators.skew import with_group_values
 from kumihimo.sources.shared import written
 
-#: Segments of a unit, each of PLACES places that a wildcard may stand for, of DIGITS digits of 5 bits.
-SEGMENTS = 2
-PLACES, DIGITS = 4, 3
+#: A segment has PLACES places that a wildcard may stand for, of DIGITS digits of 5 bits.
+PLACES, DIGITS = 5, 2
 GRAM = 2
 #: Folded characters from which a unit is indexed by itself; a text without any is one unit.
 LEAST = 8
 #: A longer unit is cut at local minima of a hash among so many characters on either side.
-LONG, REACH = 80, 16
+LONG, REACH = 60, 11
 #: Partners are verified on longer grams, which tell long texts of one vocabulary apart.
 CHECK_GRAM = 5
 CHECK_REGISTERS = 112
@@ -42,7 +45,7 @@ CHECK_REGISTERS = 112
 #: well over half of their wording stand above 0.65, others below 0.35.
 THRESHOLD = 0.5
 #: A variant shared by more texts than this is linked through one of them first.
-HOT = 256
+HOT = 64
 #: Texts meet in such variants if these have at least this share of their index rows.
 HOT_SHARE = 0.3
 #: Blocks into which the members of a very common variant are dealt.
@@ -72,29 +75,50 @@ def unit_starts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     wide = codes.astype(np.uint64)
     h = mix(wide[:-1] * np.uint64(0x100000001B3) + wide[1:] + np.uint64(7))
     padded = np.concatenate([np.full(REACH, 2**64 - 1, np.uint64), h, np.full(REACH, 2**64 - 1, np.uint64)])
-    least = padded
-    for step in (1, 2, 4, 8, 16):  # the least of 32 from each place on
+    window, step, least = 2 * REACH + 1, 1, padded
+    while 2 * step <= window:  # the least of 2 * step from each place on
         least = np.minimum(least[:-step], least[step:])
-    least = np.minimum(least[:-1], padded[32:])[: len(h)]  # of 33: REACH on both sides
+        step *= 2
+    least = np.minimum(least[: len(h)], least[window - step :][: len(h)])
     cuts = np.flatnonzero(h == least)
     unit = np.searchsorted(starts, cuts, side="right") - 1
     inside = np.isin(unit, long) & (cuts - starts[unit] >= LEAST) & (starts[unit + 1] - cuts >= LEAST)
     return np.union1d(starts, cuts[inside])
 
 
-def unit_segments(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A row of SEGMENTS numbers of 60 bits for each run of grams; runs are not empty."""
-    out = np.zeros((len(begins), SEGMENTS), dtype=np.int64)
+def least_hashes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Per run of grams, none of them empty, the least value of each hash function; the last is for order."""
+    rng = np.random.default_rng(20)  # fixed odd multipliers
+    factors = [np.uint64(int(rng.integers(0, 2**63)) * 2 + 1) for _ in range(PLACES * DIGITS + 1)]
+    out = np.empty((len(begins), len(factors)), dtype=np.uint64)
     if len(begins):
-        rng = np.random.default_rng(20)  # fixed odd multipliers
-        for s in range(SEGMENTS):
-            for d in range(PLACES * DIGITS):
-                factor = np.uint64(int(rng.integers(0, 2**63)) * 2 + 1)
-                least = np.minimum.reduceat(hashes * factor, begins)
-                out[:, s] |= ((least >> np.uint64(24)) & np.uint64(31)).astype(np.int64) << (5 * d)
+        for i, factor in enumerate(factors):
+            out[:, i] = np.minimum.reduceat(hashes * factor, begins)
     return out
 
 
+def paired(least: np.ndarray, sizes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of neighbouring units in the order of their contents, their sizes and texts, where each text begins.
+
+    The order is a ring, so a text of m units has m segments; of two, one; of one, itself.
+    """
+    order = np.lexsort((least[:, -1], doc))
+    least, sizes, doc = least[order], sizes[order], doc[order]
+    begins = np.searchsorted(doc, np.arange(n + 1))
+    count = np.diff(begins)[doc]
+    place = np.arange(len(doc)) - begins[doc]
+    after = begins[doc] + (place + 1) % np.maximum(count, 1)
+    both = np.minimum(least, least[after])
+    size = (sizes + sizes[after]) / 2
+    once = (count != 2) | (place == 0)
+    size[count == 2] *= 2
+    segments = np.zeros(len(doc), dtype=np.int64)
+    for d in range(PLACES * DIGITS):
+        segments |= ((both[:, d] >> np.uint64(24)) & np.uint64(31)).astype(np.int64) << (5 * d)
+    doc = doc[once]
+    return segments[once], size[once], doc, np.searchsorted(doc, np.arange(n + 1))
+
+
 def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
     """row_id, 128-bit fingerprint, segments of all units, their weights, register bytes.
 
@@ -127,23 +151,21 @@ def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required:
                 hashes, at = gram_hashes(codes, begins, GRAM)
                 run_of = owners(at, begins)
                 with_grams, run_at = np.unique(run_of, return_index=True)
-                seg = unit_segments(hashes, run_at)
                 good = ok[with_grams]
-                seg, doc_of, size = seg[good], doc[with_grams[good]], sizes[with_grams[good]]
+                least, doc_of, size = least_hashes(hashes, run_at)[good], doc[with_grams[good]], sizes[with_grams[good]]
                 small = np.ones(n, dtype=bool)
                 small[doc_of] = False
                 gram_doc = doc[run_of] if len(run_of) else run_of
                 rest = np.flatnonzero(small[gram_doc]) if len(run_of) else run_of
                 small_docs, small_at = np.unique(gram_doc[rest], return_index=True)
-                seg = np.concatenate([seg, unit_segments(hashes[rest], small_at)])
+                least = np.concatenate([least, least_hashes(hashes[rest], small_at)])
                 doc_of = np.concatenate([doc_of, small_docs])
                 size = np.concatenate([size, np.diff(starts)[small_docs]])
-                order = np.argsort(doc_of, kind="stable")
-                seg, doc_of, size = seg[order], doc_of[order], size[order]
-                weight = np.maximum(1, size * 120 // np.maximum(1, np.diff(starts)[doc_of])).astype(np.int8)
-                ends = np.searchsorted(doc_of, np.arange(n + 1))
-                segments = pa.ListArray.from_arrays(pa.array(ends * SEGMENTS, pa.int32()), pa.array(seg.reshape(-1)))
-                weights = pa.ListArray.from_arrays(pa.array(ends * SEGMENTS, pa.int32()), pa.array(np.repeat(weight, SEGMENTS)))
+                seg, size, doc_of, ends = paired(least, size, doc_of, n)
+                whole = np.bincount(doc_of, size, n)[doc_of]
+                weight = np.maximum(1, np.round(size * 120 / whole)).astype(np.int8)
+                segments = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(seg))
+                weights = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(weight))
                 hashes, at = gram_hashes(codes, starts, CHECK_GRAM)
                 check = minhash_registers(hashes, owners(at, starts), n, CHECK_REGISTERS)
                 sketch = binary_column((check & np.uint64(0xFF)).astype(np.uint8))
@@ -158,13 +180,12 @@ def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required:
 
 def index_rows(reps: DataFrame) -> DataFrame:
     """row_id, weight, variant: each segment under its one-wildcard variants."""
-    flat = reps.select("row_id", F.posexplode(F.arrays_zip("segments", "weights")).alias("at", "s"))
-    flat = flat.select("row_id", F.pmod("at", F.lit(SEGMENTS)).cast("long").alias("which"), F.col("s.segments").alias("segment"), F.col("s.weights").alias("weight"))
+    flat = reps.select("row_id", F.inline(F.arrays_zip("segments", "weights")).alias("segment", "weight"))
     bits = 5 * DIGITS
     variants = []
     for p in range(PLACES):
         kept = ((1 << (bits * PLACES)) - 1) & ~(((1 << bits) - 1) << (bits * p))
-        variants.append(F.col("segment").bitwiseAND(F.lit(kept)).bitwiseOR(F.shiftleft(F.col("which") * PLACES + p, 60)))
+        variants.append(F.col("segment").bitwiseAND(F.lit(kept)).bitwiseOR(F.lit(p << (bits * PLACES))))
     return flat.select("row_id", "weight", F.explode(F.array(*variants)).alias("variant"))
 
 
@@ -203,7 +224,7 @@ def group_links(reps: DataFrame, hot: int = HOT, similarity: float = THRESHOLD)
     common = shared.where(F.col("n") > hot)
     if common.isEmpty():
         return links
-    share = common.groupBy("row_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= HOT_SHARE * 120 * PLACES * SEGMENTS)
+    share = common.groupBy("row_id").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= HOT_SHARE * 120 * PLACES)
     warm = written(common.join(share.select("row_id"), "row_id").select("row_id", "variant").distinct())
     center = warm.groupBy("variant").agg(F.min("row_id").alias("a"))
     star = warm.join(center, "variant").where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct()
