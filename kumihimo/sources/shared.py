@@ -1,35 +1,62 @@
 """Intermediate tables that several jobs read.
 
-An expensive intermediate result (a signature table, an edge list) is written once with
-``checkpoint()`` to the folder in ``spark.checkpoint.dir``, which every executor can
-read, so an executor may be lost at any time without the result being lost with it.
+An expensive intermediate result (a signature table, an edge list) is written once, as
+compressed Parquet, below the folder in ``spark.checkpoint.dir``, which every executor can
+read, so an executor may be lost at any time without the result being lost with it. A
+session's tables lie in one folder of its own, which is removed when its driver ends, or
+before that by ``clear``.
 """
 
 from __future__ import annotations
 
+import atexit
+import itertools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_numbers = itertools.count()
+_session = uuid.uuid4().hex
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; set a local one only where none is set (tests)."""
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only where none is set on a local master (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not (sc.master.startswith("local[") or sc.master == "local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="kumihimo-")
+            atexit.register(clear, spark, shared)
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kumihimo-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def session_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/kumihimo-{_session}"
+
+
+def clear(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove the tables written by this session; frames that read them can't be used after."""
+    try:
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder or session_folder(spark))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone by now, and its folder with it
+        pass
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder, its lineage cut."""
+    spark = df.sparkSession
+    number = next(_numbers)
+    if not number:
+        atexit.register(clear, spark)
+    path = f"{session_folder(spark)}/{number}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
