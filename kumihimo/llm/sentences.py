@@ -1,24 +1,31 @@
 """Sentence units across languages and scripts (problem 9), in SQL expressions.
 
 Stop marks that end no sentence (in decimals, addresses, initials, abbreviations, ordinals,
-quotations and brackets) are masked by private-use placeholders of the same length. A
-break mark is then put behind every terminator that its script lets end a sentence, and
-behind line breaks; between break marks lie the units. As masking keeps every position,
-the original text is restored by its offsets.
+quotations and brackets) are masked by private-use placeholders, one for each mark. A break
+mark is then put behind every terminator that its script lets end a sentence, and behind line
+breaks; between break marks lie the units. As a placeholder takes one place and stands for one
+mark, offsets are counted on the masked text, and the text is restored from it.
+
+Everything happens within the row: nothing is shuffled, and the work grows with the length of
+a text. Rules for marks or scripts that a text doesn't hold are passed over for that text.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-MASKED = ""  # a stop mark that ends nothing
-CLOSED = ""  # a stop mark right before a closing mark
-FORCED = ""  # a stop mark of an abbreviation that also ends its sentence
-BREAK = ""
+from pyspark.sql import Column, DataFrame, functions as F
 
 STOPS = "。｡！？!?.…।؟"
+#: Placeholders, in the order of STOPS: stop marks that end nothing, and those right before a
+#: closing mark; then the full stop of an abbreviation that also ends its sentence, the break
+#: mark, and the cut between segments.
+MASKED = "".join(chr(0xE000 + i) for i in range(len(STOPS)))
+CLOSED = "".join(chr(0xE010 + i) for i in range(len(STOPS)))
+FORCED, BREAK, CUT = "\ue020", "\ue021", "\ue022"
+DOT = MASKED[STOPS.index(".")]
+_RESERVED = "[\ue000-\ue02f]"
+
 CLOSERS = "」』）)\\]”\"’»›】〕"
 # Pairs of quotation marks and brackets within which nothing divides.
 PAIRS = [("「", "」"), ("『", "』"), ("（", "）"), ("“", "”"), ("«", "»"), ("【", "】"), ("〔", "〕")]
@@ -34,32 +41,51 @@ AFTER_QUOTE = "と|は|が|を|に|の|も|で|や|へ|か|な[どのら]|だ|
 THAI_KEEP_AFTER = ["ๆ", "เช่น", "คือ", "และ", "หรือ", "ว่า", "\\."]
 THAI_KEEP_BEFORE = ["ๆ", "เช่น", "ที่", "และ", "หรือ", "ซึ่ง", "โดย", "ของ", "จาก", "เป็น"]
 
-_WS = "[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{feff}]"
+# White space, Unicode separators and marks of no width.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200B))
+
 _BLANK = "[ \\t\\x{a0}\\x{3000}\\x{2000}-\\x{200a}\\x{202f}]"
 _CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}"
+#: Pieces of a text whose lengths are added up at once.
+_STEP = 32
 
 
 def _replace(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
-def masked(text: Column) -> Column:
-    """``text`` with stop marks that end no sentence masked, every position kept."""
-    m = _replace(text, "[-]", "�")
-    # addresses and file names, decimals, versions, times, dates
-    m = _replace(m, "(?<=[\\p{L}\\p{N}])[.!?](?=[a-z0-9/_-])", MASKED)
-    m = _replace(m, "(?<=\\p{N})[.](?=\\p{N})", MASKED)
-    # a time of day may end its sentence; otherwise it is an abbreviation
-    m = _replace(m, f"(?<=\\b[ap][.{MASKED}]m)[.](?=[\\s\\p{{Z}}]+(?:\\p{{Lu}}|\\p{{Ll}}-\\p{{Lu}}|[\"“«„])|\\s*[\\r\\n]|\\s*$)", FORCED)
-    # initials and other single letters, the abbreviations, and marks of Indic and Thai ones
-    m = _replace(m, "(?<![\\p{L}\\p{M}\\p{N}])(\\p{L}\\p{M}*)[.](?=[\\s\\p{Z}]|\\p{L}|[-,;:)])", f"$1{MASKED}")
-    m = _replace(m, f"(?<=[{MASKED}]\\p{{L}})[.](?=[-,;:)]|\\s*\\p{{Ll}})", MASKED)
-    m = _replace(m, f"(?<![\\p{{L}}\\p{{N}}])({'|'.join(dict.fromkeys(ABBREVIATIONS))})[.](?=\\s*[^\\s])(?!\\s*[\\r\\n])", f"$1{MASKED}")
-    m = _replace(m, "(?<=[\\p{IsDevanagari}\\p{IsThai}])[.]", MASKED)
-    # ordinals, list numbers and dates written with blanks
-    m = _replace(m, f"(?<!\\p{{N}})(?<!\\p{{N}}[.,{MASKED}])(\\p{{N}}{{1,2}})[.](?={_BLANK}+[^\\s\\p{{N}}])", f"$1{MASKED}")
-    m = _replace(m, f"(\\p{{N}})[.](?={_BLANK}+\\p{{N}})", f"$1{MASKED}")
-    return m
+def _where(c: Column, test: Column, rules: list[tuple[str, str]]) -> Column:
+    """``c`` after the rules, in turn, where ``test`` says that they can matter."""
+    return F.when(test, reduce(lambda x, r: _replace(x, *r), rules, c)).otherwise(c)
+
+
+def masked(text: Column) -> list:
+    """Steps from ``text`` to it with stop marks masked that end no sentence, every position kept.
+
+    Each pattern begins with the mark it is about, so that it is tried at such marks only.
+    """
+    in_word = "(?<=[\\p{{L}}\\p{{N}}]{0})(?=[a-z0-9/_-])"
+    dots = [
+        # addresses and file names, decimals, versions, times, dates
+        ("[.]" + in_word.format("[.]"), DOT),
+        ("[.](?<=\\p{N}[.])(?=\\p{N})", DOT),
+        # a time of day may end its sentence; otherwise it is an abbreviation
+        (f"[.](?<=\\b[ap][.{DOT}]m[.])(?=[\\s\\p{{Z}}]+(?:\\p{{Lu}}|\\p{{Ll}}-\\p{{Lu}}|[\"“«„])|\\s*[\\r\\n]|\\s*$)", FORCED),
+        # initials and other single letters, the abbreviations, and marks of Indic and Thai ones
+        ("[.](?<=(?<![\\p{L}\\p{M}\\p{N}])\\p{L}\\p{M}{0,4}[.])(?=[\\s\\p{Z}]|\\p{L}|[-,;:)])", DOT),
+        (f"[.](?<=[{DOT}]\\p{{L}}[.])(?=[-,;:)]|\\s*\\p{{Ll}})", DOT),
+        (f"[.](?<=(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(dict.fromkeys(ABBREVIATIONS))})[.])(?=\\s*[^\\s])(?!\\s*[\\r\\n])", DOT),
+        ("[.](?<=[\\p{IsDevanagari}\\p{IsThai}][.])", DOT),
+        # ordinals, list numbers and dates written with blanks
+        (f"[.](?<=(?<!\\p{{N}})(?<!\\p{{N}}[.,{DOT}])\\p{{N}}{{1,2}}[.])(?={_BLANK}+[^\\s\\p{{N}}])", DOT),
+        (f"[.](?<=\\p{{N}}[.])(?={_BLANK}+\\p{{N}})", DOT),
+    ]
+    steps = [lambda c: _where(c, c.rlike(_RESERVED), [(_RESERVED, "\ufffd")])]
+    steps.append(lambda c: _where(c, F.contains(c, F.lit(".")), dots))
+    for mark in "!?":
+        rule = (f"[{mark}]" + in_word.format(f"[{mark}]"), MASKED[STOPS.index(mark)])
+        steps.append(lambda c, mark=mark, rule=rule: _where(c, F.contains(c, F.lit(mark)), [rule]))
+    return steps
 
 
 def quoted(segments: Column) -> Column:
@@ -77,59 +103,77 @@ def quoted(segments: Column) -> Column:
         return (pair | ((before == "„") & after.isin("“", "”")) | straight) & ~s.rlike("[\\r\\n]")
 
     def mask(s: Column, i: Column) -> Column:
-        last = F.regexp_replace(s, f"[{STOPS}{FORCED}]\\z", CLOSED)
-        return F.when(F.coalesce(inside(s, i), F.lit(False)), F.translate(last, STOPS + FORCED, MASKED * len(STOPS + FORCED))).otherwise(s)
+        body = F.translate(F.substring(s, F.lit(1), F.char_length(s) - 1), STOPS + FORCED, MASKED + DOT)
+        last = F.translate(F.right(s, F.lit(1)), STOPS + FORCED, CLOSED + CLOSED[STOPS.index(".")])
+        return F.when(s.rlike(f"[{STOPS}{FORCED}]") & F.coalesce(inside(s, i), F.lit(False)), F.concat(body, last)).otherwise(s)
 
     return F.array_join(F.transform(segments, mask), "")
 
 
-def broken(m: Column) -> Column:
-    """Masked text with a break mark behind every sentence."""
+def broken() -> list:
+    """Steps that put a break mark behind every sentence of a masked text."""
     after_latin = "(?:[^\\p{Ll}\\s]|\\p{Ll}-\\p{Lu}|\\p{Ll}\\p{Lu})"
+    end = f"$1{BREAK}"
     rules = [
         # marks that end a sentence wherever they stand
-        f"([。｡！？।؟][。｡！？।؟!?…]*[{CLOSERS}]*)(?![{CLOSERS}])",
+        ("", f"([。｡！？।؟][。｡！？।؟!?…]*[{CLOSERS}]*)(?![{CLOSERS}])"),
         # marks that need a blank and no small letter behind them
-        f"([.!?…{FORCED}]+[{CLOSERS}]*)(?=[\\s\\p{{Z}}]+{after_latin})",
+        (f"[.!?…{FORCED}]", f"([.!?…{FORCED}]+[{CLOSERS}]*)(?=[\\s\\p{{Z}}]+{after_latin})"),
         # the same before a script without blanks; dots there may be a pause
-        f"([!?]+[{CLOSERS}]*)(?=[{_CJK}])",
-        "(…+)(?=[\\p{IsHan}\\p{N}“])(?![^。！？…\\r\\n]{0,80}[ぁ-ゖ])",
+        ("[!?]", f"([!?]+[{CLOSERS}]*)(?=[{_CJK}])"),
+        ("…", "(…+)(?=[\\p{IsHan}\\p{N}“])(?![^。！？…\\r\\n]{0,80}[ぁ-ゖ])"),
         # a quotation that is a sentence of its own
-        f"({CLOSED}[」』]+)(?!{AFTER_QUOTE})",
-        f"({CLOSED}[”\"’»“]+)(?=[\\s\\p{{Z}}]+\\p{{Lu}})",
-        "([\\r\\n\\x{0b}\\x{0c}\\x{85}\\x{2028}\\x{2029}]+)",
+        (f"[{CLOSED}]", f"([{CLOSED}][」』]+)(?!{AFTER_QUOTE})"),
+        (f"[{CLOSED}]", f"([{CLOSED}][”\"’»“]+)(?=[\\s\\p{{Z}}]+\\p{{Lu}})"),
+        ("", "([\\r\\n\\x{0b}\\x{0c}\\x{85}\\x{2028}\\x{2029}]+)"),
         # blanks between Thai clauses
-        f"(?<=\\p{{IsThai}})(?<!{'|'.join(THAI_KEEP_AFTER)})({_BLANK}+)(?=\\p{{IsThai}})(?!{'|'.join(THAI_KEEP_BEFORE)})",
+        ("[\u0e00-\u0e7f]", f"({_BLANK}+)(?<=\\p{{IsThai}}{_BLANK}{{1,99}})(?<!(?:{'|'.join(THAI_KEEP_AFTER)}){_BLANK}{{1,99}})(?=\\p{{IsThai}})(?!{'|'.join(THAI_KEEP_BEFORE)})"),
     ]
-    return reduce(lambda c, r: _replace(c, r, f"$1{BREAK}"), rules, m)
+    return [lambda c, test=test, rule=rule: _where(c, c.rlike(test), [(rule, end)]) if test else _replace(c, rule, end) for test, rule in rules]
 
 
 def sentence_units(df: DataFrame, id_column: str, text_column: str, with_text: bool = False) -> DataFrame:
     """One row per sentence unit: id, start_char, end_char (code points), and its text.
 
-    Null, empty and blank texts, and texts without a letter, have no unit. Ids are taken to
-    be unique. A piece without a letter in a text with letters is a unit too, so that the
-    units of a text cover all that isn't blank.
+    Null, empty and blank texts, and texts without a letter, have no unit. Equal ids and texts
+    give their own units. A piece without a letter in a text with letters is a unit too, so
+    that the units of a text cover all that isn't blank. An empty table gives an empty one.
     """
     text = F.col(text_column).cast("string")
-    has_letters = df.where(text.rlike("\\p{L}"))
-    whole = [text.alias("whole")] * with_text
     marks = "".join(o + c for o, c in PAIRS) + "()\\[\\]„\""
+    # a text that holds placeholders itself, which the sentences are cut from instead
+    odd = [F.when(text.rlike(_RESERVED), text).alias("odd")] * with_text
+    out = df.where(text.rlike("\\p{L}")).select(F.col(id_column).alias("doc"), *odd, text.alias("m"))
+    kept = ["doc", *["odd"] * with_text]
+
     # one step per select: a column used more than once is then computed once
-    cut = has_letters.select(F.col(id_column).alias("doc"), *whole, F.split(masked(text), f"(?<=[{marks}])|(?=[{marks}])", -1).alias("segments"))
-    put = cut.select("doc", *(["whole"] * with_text), quoted(F.col("segments")).alias("masked"))
-    pieces = put.select("doc", *(["whole"] * with_text), F.posexplode(F.split(broken(F.col("masked")), BREAK, -1)).alias("at", "piece"))
-    before = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    sized = pieces.select(
-        "doc", *(["whole"] * with_text), "at", F.length("piece").cast("long").alias("n"),
-        F.length(F.regexp_replace("piece", f"^{_WS}+", "")).cast("long").alias("n_left"),
-        F.length(F.regexp_replace("piece", f"{_WS}+\\z", "")).cast("long").alias("n_right"),
-    )
-    placed = sized.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n_left > 0")
-    out = placed.select(
-        F.col("doc").alias(id_column), (F.col("begin") + F.col("n") - F.col("n_left")).alias("start_char"), (F.col("begin") + F.col("n_right")).alias("end_char"),
-        *(["whole"] * with_text),
-    )
+    def then(frame: DataFrame, step) -> DataFrame:
+        return frame.select(*kept, step(F.col("m")).alias("m"))
+
+    out = reduce(then, masked(text), out)
+    cut = F.trim(F.replace(_replace(F.col("m"), f"([{marks}])", f"{CUT}$1{CUT}"), F.lit(CUT * 2), F.lit(CUT)), F.lit(CUT))
+    has_marks = F.col("m").rlike(f"[{marks}]")
+    out = out.select(*kept, "m", F.when(has_marks, F.split(cut, CUT, -1)).alias("segments"))
+    out = out.select(*kept, F.when(F.col("segments").isNotNull(), quoted(F.col("segments"))).otherwise(F.col("m")).alias("m"))
+    out = reduce(then, broken(), out)
+    out = out.select(*kept, F.split(F.col("m"), BREAK, -1).alias("pieces"))
+    out = out.select(*kept, "pieces", F.transform("pieces", F.char_length).alias("sizes"))
+    # where each piece begins: sums of whole steps, and within a step of the few pieces before
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda x, y: x + y)
+    steps = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / _STEP).cast("int"))
+    sums = F.aggregate(steps, F.array(F.lit(0)), lambda sofar, k: F.concat(sofar, F.array(F.element_at(sofar, -1) + total(F.slice("sizes", k * _STEP + 1, F.lit(_STEP))))))
+    out = out.select(*kept, "pieces", "sizes", sums.alias("sums"))
+
+    def placed(piece: Column, i: Column) -> Column:
+        begin = F.get(F.col("sums"), F.floor(i / _STEP).cast("int")) + total(F.slice("sizes", i - i % _STEP + 1, i % _STEP))
+        right = F.rtrim(piece, F.lit(BLANKS))
+        fields = [begin.alias("begin"), (F.char_length(piece) - F.char_length(F.ltrim(piece, F.lit(BLANKS)))).alias("skip"), F.char_length(right).alias("n")]
+        return F.struct(*fields, *[F.translate(F.ltrim(right, F.lit(BLANKS)), MASKED + CLOSED + FORCED, STOPS + STOPS + ".").alias("sentence")] * with_text)
+
+    units = out.select(*kept, F.explode(F.filter(F.transform("pieces", placed), lambda u: u["n"] > 0)).alias("u"))
+    start, end = (F.col("u.begin") + F.col("u.skip")).cast("long"), (F.col("u.begin") + F.col("u.n")).cast("long")
+    result = units.select(F.col("doc").alias(id_column), start.alias("start_char"), end.alias("end_char"), *[F.col("u.sentence").alias("sentence"), F.col("odd")] * with_text)
     if with_text:
-        out = out.withColumn("sentence", F.expr("substring(whole, cast(start_char + 1 AS int), cast(end_char - start_char AS int))")).drop("whole")
-    return out
+        own = F.expr("substring(odd, cast(start_char + 1 AS int), cast(end_char - start_char AS int))")
+        result = result.withColumn("sentence", F.coalesce(own, "sentence")).drop("odd")
+    return result

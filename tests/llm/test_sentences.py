@@ -52,3 +52,14 @@ def test_empty_table_and_text_column(spark):
     df = spark.createDataFrame([(1, "一つ。二つ。")], "doc_id long, text string")
     assert st.sentence_units(df.where("false"), "doc_id", "text").count() == 0
     assert [r["sentence"] for r in st.sentence_units(df, "doc_id", "text", True).orderBy("start_char").collect()] == ["一つ。", "二つ。"]
+
+
+def test_restored_texts_are_what_the_offsets_say(spark):
+    rows = list(enumerate([t for t, _ in CASES.values()] + ["私用\ue006文字。「\ue010あり。」次！", "（a.b!c?d…）終。\r\n \u3000二。", "。" * 500 + "文"]))
+    got = st.sentence_units(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", True).collect()
+    assert len(got) > 50 and all(r["sentence"] == rows[r["doc_id"]][1][r["start_char"] : r["end_char"]] for r in got)
+
+
+def test_nothing_is_shuffled(spark):
+    df = spark.createDataFrame([(1, "一つ。二つ。")], "doc_id long, text string")
+    assert "Exchange" not in st.sentence_units(df, "doc_id", "text", True)._jdf.queryExecution().executedPlan().toString()
