@@ -25,6 +25,8 @@ CLOSED = "".join(chr(0xE010 + i) for i in range(len(STOPS)))
 FORCED, BREAK, CUT = "\ue020", "\ue021", "\ue022"
 DOT = MASKED[STOPS.index(".")]
 _RESERVED = "[\ue000-\ue02f]"
+#: The first two bytes of all of them, and of few other characters.
+_PRIVATE = "\ue000".encode()[:2]
 
 CLOSERS = "」』）)\\]”\"’»›】〕"
 # Pairs of quotation marks and brackets within which nothing divides.
@@ -54,6 +56,12 @@ def _replace(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
+def _holds(c: Column, *parts: str | bytes) -> Column:
+    """Whether any of the parts, texts or the first bytes of characters in UTF-8, is in ``c``."""
+    found = [F.contains(c.cast("binary"), F.lit(x)) if isinstance(x, bytes) else F.contains(c, F.lit(x)) for x in parts]
+    return reduce(lambda a, b: a | b, found)
+
+
 def _where(c: Column, test: Column, rules: list[tuple[str, str]]) -> Column:
     """``c`` after the rules, in turn, where ``test`` says that they can matter."""
     return F.when(test, reduce(lambda x, r: _replace(x, *r), rules, c)).otherwise(c)
@@ -80,11 +88,11 @@ def masked(text: Column) -> list:
         (f"[.](?<=(?<!\\p{{N}})(?<!\\p{{N}}[.,{DOT}])\\p{{N}}{{1,2}}[.])(?={_BLANK}+[^\\s\\p{{N}}])", DOT),
         (f"[.](?<=\\p{{N}}[.])(?={_BLANK}+\\p{{N}})", DOT),
     ]
-    steps = [lambda c: _where(c, c.rlike(_RESERVED), [(_RESERVED, "\ufffd")])]
-    steps.append(lambda c: _where(c, F.contains(c, F.lit(".")), dots))
+    steps = [lambda c: _where(c, _holds(c, _PRIVATE), [(_RESERVED, "\ufffd")])]
+    steps.append(lambda c: _where(c, _holds(c, "."), dots))
     for mark in "!?":
         rule = (f"[{mark}]" + in_word.format(f"[{mark}]"), MASKED[STOPS.index(mark)])
-        steps.append(lambda c, mark=mark, rule=rule: _where(c, F.contains(c, F.lit(mark)), [rule]))
+        steps.append(lambda c, mark=mark, rule=rule: _where(c, _holds(c, mark), [rule]))
     return steps
 
 
@@ -116,20 +124,20 @@ def broken() -> list:
     end = f"$1{BREAK}"
     rules = [
         # marks that end a sentence wherever they stand
-        ("", f"([。｡！？।؟][。｡！？।؟!?…]*[{CLOSERS}]*)(?![{CLOSERS}])"),
+        ((), f"([。｡！？।؟][。｡！？।؟!?…]*[{CLOSERS}]*)(?![{CLOSERS}])"),
         # marks that need a blank and no small letter behind them
-        (f"[.!?…{FORCED}]", f"([.!?…{FORCED}]+[{CLOSERS}]*)(?=[\\s\\p{{Z}}]+{after_latin})"),
+        ((".", "!", "?", "…", FORCED), f"([.!?…{FORCED}]+[{CLOSERS}]*)(?=[\\s\\p{{Z}}]+{after_latin})"),
         # the same before a script without blanks; dots there may be a pause
-        ("[!?]", f"([!?]+[{CLOSERS}]*)(?=[{_CJK}])"),
-        ("…", "(…+)(?=[\\p{IsHan}\\p{N}“])(?![^。！？…\\r\\n]{0,80}[ぁ-ゖ])"),
+        (("!", "?"), f"([!?]+[{CLOSERS}]*)(?=[{_CJK}])"),
+        (("…",), "(…+)(?=[\\p{IsHan}\\p{N}“])(?![^。！？…\\r\\n]{0,80}[ぁ-ゖ])"),
         # a quotation that is a sentence of its own
-        (f"[{CLOSED}]", f"([{CLOSED}][」』]+)(?!{AFTER_QUOTE})"),
-        (f"[{CLOSED}]", f"([{CLOSED}][”\"’»“]+)(?=[\\s\\p{{Z}}]+\\p{{Lu}})"),
-        ("", "([\\r\\n\\x{0b}\\x{0c}\\x{85}\\x{2028}\\x{2029}]+)"),
+        ((_PRIVATE,), f"([{CLOSED}][」』]+)(?!{AFTER_QUOTE})"),
+        ((_PRIVATE,), f"([{CLOSED}][”\"’»“]+)(?=[\\s\\p{{Z}}]+\\p{{Lu}})"),
+        ((), "([\\r\\n\\x{0b}\\x{0c}\\x{85}\\x{2028}\\x{2029}]+)"),
         # blanks between Thai clauses
-        ("[\u0e00-\u0e7f]", f"({_BLANK}+)(?<=\\p{{IsThai}}{_BLANK}{{1,99}})(?<!(?:{'|'.join(THAI_KEEP_AFTER)}){_BLANK}{{1,99}})(?=\\p{{IsThai}})(?!{'|'.join(THAI_KEEP_BEFORE)})"),
+        ((b"\xe0\xb8", b"\xe0\xb9"), f"({_BLANK}+)(?<=\\p{{IsThai}}{_BLANK}{{1,99}})(?<!(?:{'|'.join(THAI_KEEP_AFTER)}){_BLANK}{{1,99}})(?=\\p{{IsThai}})(?!{'|'.join(THAI_KEEP_BEFORE)})"),
     ]
-    return [lambda c, test=test, rule=rule: _where(c, c.rlike(test), [(rule, end)]) if test else _replace(c, rule, end) for test, rule in rules]
+    return [lambda c, test=test, rule=rule: _where(c, _holds(c, *test), [(rule, end)]) if test else _replace(c, rule, end) for test, rule in rules]
 
 
 def sentence_units(df: DataFrame, id_column: str, text_column: str, with_text: bool = False) -> DataFrame:
