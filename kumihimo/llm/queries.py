@@ -15,7 +15,7 @@ BODY_COLUMNS = ["project_objective", "project_summary", "current_issues"]
 
 
 def p1_overlaps(spark: SparkSession, base: str) -> DataFrame:
-    """Overlapping train and test rows with their coverage and similarity."""
+    """Overlapping train and test rows with the coverage of each."""
     return overlap.overlaps(table(spark, base, "train"), table(spark, base, "test"), "row_id", "project_name", "project_summary")
 
 
