@@ -8,14 +8,16 @@ import numpy as np
 import pyarrow as pa
 
 _SEP = "\x01"
+#: What it is folded to, which no character is.
+_CUT = 0x110000
 
 
 @lru_cache(maxsize=1)
 def _table() -> np.ndarray:
-    from kumihimo.functions.glyphs import fold_table
+    from kumihimo.llm.glyphs import fold_table
 
     table = fold_table()
-    table[1] = 0xFFFF  # the separator survives folding
+    table[1] = _CUT  # the separator survives folding
     return table
 
 
@@ -28,11 +30,11 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     codes = _table()[raw]
     codes = codes[codes != 0]
-    ends = np.flatnonzero(codes == 0xFFFF)
+    ends = np.flatnonzero(codes == _CUT)
     n = len(texts)
     starts = np.zeros(n + 1, dtype=np.int64)
     starts[1:n] = ends - np.arange(len(ends))
-    codes = codes[codes != 0xFFFF]
+    codes = codes[codes != _CUT]
     starts[n] = len(codes)
     return codes, starts
 

@@ -33,7 +33,7 @@ def canonical_cells(df: DataFrame, id_column: str, columns: Sequence[str], only_
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from kumihimo.functions.glyphs import RE_SUSPECT, clean, key
+        from kumihimo.llm.glyphs import RE_SUSPECT, clean, key
 
         for batch in batches:
             ids = batch.column(0)

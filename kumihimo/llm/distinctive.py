@@ -1,9 +1,9 @@
 """How distinctive a term is per record (problem 5): positive pointwise mutual information.
 
 A term's joint count with a record is set against the term's and the record's marginal
-counts, the records' (the contexts') smoothed by a fractional exponent. Joint counts come
-from the record's own text, without a shuffle; the terms' marginals from one partial
-aggregate and a join. The totals are a single row.
+counts, the records' (the contexts') smoothed by a fractional exponent. Mentions are found
+in the text; joint counts, both marginals and the score come from group-bys, which combine
+before they shuffle, and joins. The totals are a single row.
 """
 
 from __future__ import annotations
@@ -28,14 +28,23 @@ def _texts(batch: pa.RecordBatch, n: int) -> list[str]:
     return ["\n".join(t for t in row if t) for row in zip(*cells)]
 
 
-def glossary_counts(df: DataFrame, id_column: str, columns: Sequence[str], glossary: DataFrame, term_id: str, term: str, most_terms: int = 100_000) -> DataFrame:
-    """row_id, term_id, n, n_row: mentions of glossary terms, a mention inside a longer one left out.
+def maximal(found: list[tuple[int, int, list[int]]]) -> Iterator[list[int]]:
+    """The mentions (begin, end, ids) that don't lie within a longer one; overlapping ones all count."""
+    reach = -1
+    for begin, end, ids in sorted(found, key=lambda m: (m[0], -m[1])):
+        if end > reach:
+            reach = end
+            yield ids
 
-    Texts and terms are compared in canonical form. At each place the longest term counts,
-    leftmost first. A row without a mention has no row here. The glossary, a dimension of at
+
+def mentions(df: DataFrame, id_column: str, columns: Sequence[str], glossary: DataFrame, term_id: str, term: str, most_terms: int = 100_000) -> DataFrame:
+    """row_id, term_id: each mention of a glossary term, but for those inside a longer mention.
+
+    Texts and terms are compared in canonical form. Mentions that overlap in part all count,
+    as do repeated ones. A row without a mention has no row here. The glossary, a dimension of at
     most ``most_terms`` entries (more are refused), is sent to the executors.
     """
-    from kumihimo.functions.glyphs import key
+    from kumihimo.llm.glyphs import key
 
     entries = [(int(r[0]), r[1]) for r in glossary.where(F.col(term).isNotNull()).select(term_id, term).limit(most_terms + 1).collect()]
     if len(entries) > most_terms:
@@ -49,7 +58,7 @@ def glossary_counts(df: DataFrame, id_column: str, columns: Sequence[str], gloss
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        from kumihimo.functions.glyphs import key
+        from kumihimo.llm.glyphs import key
 
         automaton = ahocorasick.Automaton()
         for k, ids in by_key.items():
@@ -57,31 +66,37 @@ def glossary_counts(df: DataFrame, id_column: str, columns: Sequence[str], gloss
         if by_key:
             automaton.make_automaton()
         for batch in batches:
-            rows, terms, counts, totals = [], [], [], []
+            rows, terms = [], []
             ids = batch.column(0).to_pylist()
             for row, text in zip(ids, _texts(batch, n_columns)):
                 if not text or not by_key:
                     continue
-                seen: Counter = Counter()
                 # columns are joined by line feeds, which a key turns into blanks: use U+0000
-                for _, (_, found) in automaton.iter_long("\x00".join(key(part) for part in text.split("\n"))):
-                    seen.update(found)
-                rows += [row] * len(seen)
-                terms += seen.keys()
-                counts += seen.values()
-                totals += [sum(seen.values())] * len(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(terms, pa.int64()), pa.array(counts, pa.int64()), pa.array(totals, pa.int64())], names=["row_id", "term_id", "n", "n_row"])
+                found = automaton.iter("\x00".join(key(part) for part in text.split("\n")))
+                own = [i for ids in maximal([(end - n, end, ids) for end, (n, ids) in found]) for i in ids]
+                rows += [row] * len(own)
+                terms += own
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(terms, pa.int64())], names=["row_id", "term_id"])
 
     picked = df.select(F.col(id_column).cast("long"), *[F.col(c).cast("string") for c in columns])
-    return picked.mapInArrow(run, "row_id long, term_id long, n long, n_row long")
+    return picked.mapInArrow(run, "row_id long, term_id long")
+
+
+def joint_counts(found: DataFrame, term: str) -> DataFrame:
+    """row_id, term, n, n_row from one row for each mention."""
+    joint = written(found.groupBy("row_id", term).agg(F.count("*").alias("n")))
+    return joint.join(joint.groupBy("row_id").agg(F.sum("n").alias("n_row")), "row_id")
 
 
 def run_counts(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
-    """row_id, term, n, n_row: the script runs and words of each record, in comparison form."""
+    """row_id, term, n, n_row: the script runs and words of each record, in comparison form.
+
+    A record's text is one row, so its joint counts are complete where they are read.
+    """
     n_columns = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from kumihimo.functions.glyphs import key
+        from kumihimo.llm.glyphs import key
 
         for batch in batches:
             rows, terms, counts, totals = [], [], [], []
@@ -117,7 +132,7 @@ def ppmi(counts: DataFrame, n_records: int, term: str, alpha: float = ALPHA) ->
 
 def characteristic_terms(df: DataFrame, glossary: DataFrame, id_column: str, columns: Sequence[str], least: int = 2, common: float = 0.05) -> DataFrame:
     """Glossary terms that characterise a record: positive score, ``least`` mentions, rare."""
-    counts = written(glossary_counts(df, id_column, columns, glossary, "term_id", "term"))
+    counts = written(joint_counts(mentions(df, id_column, columns, glossary, "term_id", "term"), "term_id"))
     scored = ppmi(counts, df.count(), "term_id")
     return scored.where((F.col("n") >= least) & (F.col("df_share") < common) & (F.col("ppmi") > 0))
 

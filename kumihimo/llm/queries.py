@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_subjects(spark: SparkSession, base: str) -> DataFrame:
-    """Subjects of every train row with their share of its weighted votes."""
+    """Subjects of every train row with their posterior probability."""
     features = table(spark, base, "ai_market_llm_features").where("source_split = 'train'").select("project_id", "policy_domain")
     train = table(spark, base, "train").select("row_id", "project_id", "project_objective", "project_summary")
     return subjects.assign_subjects(train, features, table(spark, base, "policy_domains"), "row_id", "project_id", "project_objective", "project_summary")

@@ -27,3 +27,20 @@ def test_empty_table(spark):
 def test_same_form_for_look_alikes(spark):
     rows = [(i, t, None) for i, t in enumerate(["データ連携", "ﾃﾞｰﾀ連携", "デ​ータ連携", "デ–タ連携", "データ連携", "デ一タ連携"])]
     assert {r["comparison_key"] for r in canon.canonical_cells(frame(spark, rows), "row_id", ["a"]).collect()} == {"データ連携"}
+
+
+def test_words_of_other_scripts_stay():
+    from kumihimo.llm.glyphs import clean
+
+    assert clean("Министерство образования и Αθήνα, α波") == "Министерство образования и Αθήνα, α波"
+    assert clean("GΙSとСАD、ΑI") == "GISとCAD、AI"
+
+
+def test_folding_keeps_rare_characters_apart():
+    import numpy as np
+
+    from kumihimo.llm.batches import folded
+
+    codes, starts = folded(["\U00020000\U00028000", "\ua015\U00010400", "ＡBc1"])
+    assert np.diff(starts).tolist() == [2, 2, 4] and len(set(codes[:4].tolist())) == 4
+    assert "".join(map(chr, codes[4:])) == "abc1"

@@ -16,9 +16,20 @@ def glossary(spark):
     return spark.createDataFrame([(1, "標準化"), (2, "逆送り標準化"), (3, "Olmisa Loop"), (4, None), (5, "")], "term_id int, term string")
 
 
+def counted(df, glossary):
+    return ds.joint_counts(ds.mentions(df, "row_id", ["a", "b"], glossary, "term_id", "term"), "term_id")
+
+
+def test_terms_that_overlap_in_part_all_count(spark):
+    glossary = spark.createDataFrame([(1, "情報通信"), (2, "通信技術"), (3, "情報通信技術者"), (4, "技術者")], "term_id int, term string")
+    rows = [(1, "情報通信技術", "情報通信技術"), (2, "情報通信技術者", "技術者"), (3, "通信技術者", None)]
+    got = {(r["row_id"], r["term_id"]): (r["n"], r["n_row"]) for r in counted(frame(spark, rows), glossary).collect()}
+    assert got == {(1, 1): (2, 4), (1, 2): (2, 4), (2, 3): (1, 2), (2, 4): (1, 2), (3, 2): (1, 2), (3, 4): (1, 2)}
+
+
 def test_longer_terms_take_their_mentions(spark, glossary):
     rows = [(1, "逆送り標準化と標準化", "標準化。逆送り標準化"), (2, "Ｏlmisa Loop", "olmisa​ loop"), (3, None, None), (4, "", "なし")]
-    got = {(r["row_id"], r["term_id"]): r["n"] for r in ds.glossary_counts(frame(spark, rows), "row_id", ["a", "b"], glossary, "term_id", "term").collect()}
+    got = {(r["row_id"], r["term_id"]): r["n"] for r in counted(frame(spark, rows), glossary).collect()}
     assert got == {(1, 1): 2, (1, 2): 2, (2, 3): 2}
 
 

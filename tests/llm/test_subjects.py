@@ -65,15 +65,28 @@ def test_empty_tables(tables):
 
 def test_accuracies_are_learned():
     rng = random.Random(3)
-    counts = {}
+    rows = []
     for _ in range(4000):
-        y = rng.choice("abcd")
-        votes = tuple(y if rng.random() < p else rng.choice([c for c in "abcd" if c != y]) for p in (0.95, 0.8, 0.6))
-        counts[votes] = counts.get(votes, 0) + 1
-    got = sj.learn_accuracies(list(counts), list(counts.values()))
-    assert got == pytest.approx([0.95, 0.8, 0.6], abs=0.04)
-    assert sj.learn_accuracies([(None, None)], [3]) == [0.5, 0.5]
-    assert sj.learn_accuracies([], []) == []
+        own = rng.sample("abcdef", 2 if rng.random() < 0.3 else 1)
+        votes = [[rng.choice(own) if rng.random() < p else rng.choice([c for c in "abcdef" if c not in own]) for _ in range(3)] for p in (0.95, 0.8, 0.6, 0.9)]
+        seen = sorted({v for f in votes for v in f})
+        rows.append([[f.count(c) for c in seen] for f in votes])
+    accuracies, two = sj.learn_accuracies(rows, 6)
+    assert accuracies == pytest.approx([0.95, 0.8, 0.6, 0.9], abs=0.05) and two == pytest.approx(0.3, abs=0.06)
+    assert sj.learn_accuracies([], 6) == ([0.8] * 4, 0.2)
+
+
+def test_phrases_that_set_a_subject_apart_are_learned(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        d, e = rng.sample(list(NOUNS), 2)
+        rows.append((i, f"P{i}", None, "".join(sentence(rng, d) for _ in range(3)) + (f"{rng.choice(NOUNS[e])}の窓口は別の制度で扱う。" if i % 2 else ""), d, ""))
+    df = spark.createDataFrame(rows, TRAIN)
+    lexicon = {t: d for d, terms in NOUNS.items() for t in terms}
+    chosen = spark.createDataFrame([(r[1], r[4]) for r in rows], "label_key string, label string")
+    apart, _ = sj.learn_cues(df, chosen, lexicon, "project_id", ["o", "s"])
+    assert "別の制度" in apart and not any("費用" in g for g in apart)
 
 
 def test_long_text_and_ties(spark, tables):
