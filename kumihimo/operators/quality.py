@@ -2,8 +2,9 @@
 
 Constraints are declared per column and compiled into one scan that counts, for each load
 and column, how many cells are null, carry the agreed marker, are wrong, or fall into each
-bucket of the valid values. These counts are the state: states of disjoint loads or
-partitions merge by addition, so a new load is scanned once and the history kept.
+bucket of the valid values, and that names the wrong cells. These counts are the state: states
+of disjoint loads or partitions merge by addition, so a new load is scanned once and the
+history kept. The same holds for the profile of all columns, whose distinct counts are sketches.
 A load is judged against control limits taken from all loads of the history.
 """
 
@@ -15,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from kumihimo.sources.shared import written
+
 
 @dataclass(frozen=True)
 class Constraint:
@@ -60,20 +63,29 @@ def with_known(df: DataFrame, column: str, dimension: DataFrame, name: str, flag
     return df.join(members, df[column] == members[flag], "left")
 
 
-def wrong_cells(df: DataFrame, id_column: str, constraints: Sequence[Constraint]) -> DataFrame:
-    """column_name and id of every non-null cell that is wrong, all columns in one scan."""
-    failing = F.array_compact(F.array(*[F.when(c.cell_class() == "wrong", F.lit(c.column)) for c in constraints]))
-    return df.select(F.col(id_column), F.explode(failing).alias("column_name"))
+def cell_states(df: DataFrame, id_column: str | None, load_column: str, constraints: Sequence[Constraint]) -> DataFrame:
+    """load, column_name, cell_class, ref_id, n: one scan for the wrong cells and all counts.
+
+    ``ref_id`` is the row's id for a wrong cell, and null for the others (for all, without an id
+    column), which are counted together; counts are combined before they are shuffled. An empty table has no states.
+    """
+    cells = F.array(*[F.struct(F.lit(c.column).alias("column_name"), c.cell_class().alias("cell_class")) for c in constraints])
+    flat = df.select(F.col(load_column).alias("load"), (F.col(id_column) if id_column else F.lit(None).cast("long")).alias("id"), F.explode(cells).alias("cell")).select("load", "id", "cell.*")
+    ref = F.when(F.col("cell_class") == "wrong", F.col("id")).alias("ref_id")
+    return flat.groupBy("load", "column_name", "cell_class", ref).agg(F.count("*").alias("n"))
+
+
+def wrong_cells(cells: DataFrame, id_column: str) -> DataFrame:
+    """column_name and id of every non-null cell that is wrong, once for each row of that id."""
+    return cells.where("ref_id IS NOT NULL").select("column_name", F.explode(F.array_repeat("ref_id", F.col("n").cast("int"))).alias(id_column))
 
 
-def load_states(df: DataFrame, load_column: str, constraints: Sequence[Constraint]) -> DataFrame:
+def load_states(cells: DataFrame) -> DataFrame:
     """load, column_name, cell_class, n: the mergeable state of each load.
 
-    Rows without a load are no load's. An empty table has no states.
+    Rows without a load are no load's.
     """
-    cells = F.array(*[F.struct(F.lit(c.column).alias("column_name"), c.cell_class().alias("cell_class")) for c in constraints])
-    flat = df.where(F.col(load_column).isNotNull()).select(F.col(load_column).alias("load"), F.explode(cells).alias("cell"))
-    return flat.groupBy("load", "cell.column_name", "cell.cell_class").agg(F.count("*").alias("n"))
+    return merge_states(cells.where("load IS NOT NULL").select("load", "column_name", "cell_class", "n"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
@@ -124,7 +136,8 @@ def load_anomalies(states: DataFrame, least: float = 0.1, sigmas: float = 3.0) -
     (from the median absolute deviation, or the sampling error where that is larger).
     With a single load nothing departs.
     """
-    metrics = load_metrics(states)
+    # a row per load, column and metric, read several times
+    metrics = written(load_metrics(written(states)))
     usual = metrics.groupBy("column_name", "metric").agg(F.median("value").alias("usual"))
     gaps = metrics.join(usual, ["column_name", "metric"]).withColumn("gap", F.abs(F.col("value") - F.col("usual")))
     width = gaps.groupBy("column_name", "metric").agg((F.median("gap") * 1.4826).alias("sd"))
@@ -134,27 +147,41 @@ def load_anomalies(states: DataFrame, least: float = 0.1, sigmas: float = 3.0) -
     return judged.where(beyond).select("load", "column_name", "metric", "value", "usual")
 
 
-def table_profile(df: DataFrame, id_columns: Sequence[str] = ()) -> DataFrame:
-    """One row per column: rows, nulls, distinct values (sketched), least and greatest.
+def profile_states(df: DataFrame, load_column: str | None, columns: Sequence[str]) -> DataFrame:
+    """load, n_rows and for each column count, HyperLogLog sketch, least and greatest: mergeable.
 
-    A single aggregate scan for all columns. Distinct counts come from HyperLogLog sketches
-    of 2^12 registers (relative error about 1.6 %), which merge over partitions and loads;
-    NaN counts as the greatest value; texts are compared by code point.
+    One aggregate scan for all columns, a row for each load (one in all without a load column).
     """
-    columns = [c for c in df.columns if c not in id_columns]
     aggs = [F.count("*").alias("n_rows")]
     for i, c in enumerate(columns):
         kind = df.schema[c].dataType
         hashable = F.col(c) if isinstance(kind, (T.StringType, T.LongType, T.IntegerType)) else F.col(c).cast("string")
-        aggs += [
-            F.count(c).alias(f"n_{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(hashable, F.lit(12))).alias(f"d_{i}"),
-            F.min(c).cast("string").alias(f"lo_{i}"), F.max(c).cast("string").alias(f"hi_{i}"),
-        ]
-    one = df.agg(*aggs)
+        aggs += [F.count(c).alias(f"n_{i}"), F.hll_sketch_agg(hashable, F.lit(12)).alias(f"d_{i}"), F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}")]
+    load = F.col(load_column) if load_column else F.lit(None).cast("string")
+    return df.groupBy(load.alias("load")).agg(*aggs)
+
+
+def profile(states: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column: rows, nulls, distinct values (estimated), least and greatest, from merged states.
+
+    Sketches have 2^12 registers (relative error about 1.6 %); NaN counts as the greatest
+    value; texts are compared by code point. No states give a row of zeros and nulls each.
+    """
+    aggs = [F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")]
+    for i, _ in enumerate(columns):
+        estimate = F.hll_sketch_estimate(F.hll_union_agg(f"d_{i}"))
+        aggs += [F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias(f"n_{i}"), F.coalesce(estimate, F.lit(0)).alias(f"d_{i}"), F.min(f"lo_{i}").cast("string").alias(f"lo_{i}"), F.max(f"hi_{i}").cast("string").alias(f"hi_{i}")]
     rows = F.array(*[
         F.struct(
             F.lit(c).alias("column_name"), F.col("n_rows"), (F.col("n_rows") - F.col(f"n_{i}")).alias("n_null"),
             F.col(f"d_{i}").alias("n_distinct"), F.col(f"lo_{i}").alias("least"), F.col(f"hi_{i}").alias("greatest"),
         ) for i, c in enumerate(columns)
     ])
+    one = states.agg(*aggs)
     return one.select(F.explode(rows).alias("r")).select("r.*").withColumn("null_rate", F.try_divide("n_null", "n_rows"))
+
+
+def table_profile(df: DataFrame, id_columns: Sequence[str] = (), load_column: str | None = None) -> DataFrame:
+    """``profile`` of all columns but ``id_columns``, by way of the states of each load."""
+    columns = [c for c in df.columns if c not in id_columns]
+    return profile(profile_states(df, load_column, columns), columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kumihimo.operators.quality import Constraint, load_states
+from kumihimo.operators.quality import Constraint, cell_states, load_states
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -26,6 +26,6 @@ def append_states(stream: DataFrame, load_column: str, constraints: Sequence[Con
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        load_states(prepare(batch), load_column, constraints).write.mode("overwrite").parquet(f"{states_path}/batch={number}")
+        load_states(cell_states(prepare(batch), None, load_column, constraints)).write.mode("overwrite").parquet(f"{states_path}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -104,7 +104,7 @@ def test_streamed_states_match_the_batch(spark, tmp_path):
     stream = inc.arriving(spark, str(tmp_path / "in"), df.schema, 1)
     inc.append_states(stream, "load_id", [q.year_constraint("y")], lambda x: x, str(tmp_path / "states"), str(tmp_path / "cp"))
     merged = q.merge_states(spark.read.parquet(str(tmp_path / "states")).drop("batch"))
-    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, q.load_states(df, "load_id", [q.year_constraint("y")]).collect()))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, q.load_states(q.cell_states(df, None, "load_id", [q.year_constraint("y")])).collect()))
 
 
 def test_suite_and_coefficients(spark):

@@ -16,7 +16,7 @@ def prepared(spark, rows):
 def test_wrong_values(spark):
     good = [(i, 1, y, b, m, "clash") for i, (y, b, m) in enumerate([("2020", 1.0, "M1"), ("-1", 0.0, "M2"), (None, None, None), ("1950", 1e6, "M1"), ("2030", 5.0, "M1")])]
     bad = [(10, 1, "2031", -0.1, "m1", None), (11, 1, "２０２０", float("nan"), "", None), (12, 1, "", float("inf"), " M1", None), (13, 1, "2020\n", 1000000.1, "M3", None), (14, 1, "1949", -1.0, "不明", None)]
-    got = q.wrong_cells(prepared(spark, good + bad), "row_id", RULES).collect()
+    got = q.wrong_cells(q.cell_states(prepared(spark, good + bad), "row_id", "load_id", RULES), "row_id").collect()
     assert sorted((r["row_id"], r["column_name"]) for r in got) == sorted((i, c) for i in range(10, 15) for c in ("y", "b", "m"))
 
 
@@ -38,17 +38,17 @@ def test_odd_loads_are_found_and_states_merge(spark):
             rows.append((load * 1000 + i, load, y, b, m, None))
     rows.append((1, None, "2020", 1.0, "M1", None))
     df = prepared(spark, rows)
-    whole = q.load_states(df, "load_id", RULES)
-    parts = q.merge_states(*[q.load_states(df.where(F.col("row_id") % 3 == k), "load_id", RULES) for k in range(3)])
+    whole = q.load_states(q.cell_states(df, "row_id", "load_id", RULES))
+    parts = q.merge_states(*[q.load_states(q.cell_states(df.where(F.col("row_id") % 3 == k), "row_id", "load_id", RULES)) for k in range(3)])
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
     found = {(r["load"], r["column_name"], r["metric"]) for r in q.load_anomalies(whole).collect()}
     assert found == {(3, "y", "null"), (4, "y", "marker"), (5, "b", "wrong"), (6, "b", "spread"), (7, "m", "spread")}
 
 
 def test_nothing_and_one_load(spark):
-    assert q.load_anomalies(q.load_states(prepared(spark, []), "load_id", RULES)).count() == 0
+    assert q.load_anomalies(q.load_states(q.cell_states(prepared(spark, []), "row_id", "load_id", RULES))).count() == 0
     one = prepared(spark, [(1, 1, None, None, None, None)])
-    assert q.load_anomalies(q.load_states(one, "load_id", RULES)).count() == 0
+    assert q.load_anomalies(q.load_states(q.cell_states(one, "row_id", "load_id", RULES))).count() == 0
     profile = {r["column_name"]: r for r in q.table_profile(one.drop("known")).collect()}
     assert profile["y"]["n_null"] == 1 and profile["row_id"]["n_distinct"] == 1
 
