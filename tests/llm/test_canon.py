@@ -1,3 +1,5 @@
+import pytest
+
 from kumihimo.llm import canon
 
 SCHEMA = "row_id long, a string, b string, column_name string, canonical string"
@@ -44,3 +46,14 @@ def test_folding_keeps_rare_characters_apart():
     codes, starts = folded(["\U00020000\U00028000", "\ua015\U00010400", "ＡBc1"])
     assert np.diff(starts).tolist() == [2, 2, 4] and len(set(codes[:4].tolist())) == 4
     assert "".join(map(chr, codes[4:])) == "abc1"
+
+
+@pytest.mark.parametrize("raw, clean", [
+    ("АРI", "API"), ("ﾃﾞｰﾀ", "データ"), ("サーバ一の更新", "サーバーの更新"), ("一件当たり", "一件当たり"), ("窓ロを", "窓口を"), ("モデル二号", "モデル二号"), ("町エ場の", "町工場の"), ("コス卜削減", "コスト削減"),
+    ("が", "が"), ("Éolano", "Éolano"), ("Éolano", "Éolano"), ("a​b", "ab"), ("a b", "a b"), ("（仮称）：？！", "（仮称）：？！"), ("１２３", "123"), ("デ–タ", "データ"), ("⼤きい", "大きい"), ("", ""), ("省エネ家電", "省エネ家電"),
+])
+def test_look_alikes(raw, clean):
+    from kumihimo.llm.glyphs import clean as canon_clean
+
+    assert canon_clean(raw) == clean
+    assert canon_clean(clean) == clean
