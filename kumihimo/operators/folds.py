@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -125,3 +126,26 @@ def last_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     """The last row of every group in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+
+
+def clipped_auc(predictions: DataFrame, score: str, target: str, keys: list[str], clip: float = 1e-7) -> DataFrame:
+    """AUC per group of scores clipped to [clip, 1 - clip] first, which may tie the extreme ones."""
+    inside = F.least(F.greatest(F.col(score), F.lit(clip)), F.lit(1 - clip))
+    return auc_by(predictions.withColumn(score, F.when(F.col(score).isNotNull(), inside)), score, target, keys)
+
+
+def custom_scores(predictions: DataFrame, score: str, target: str, keys: list[str], metric: Callable[[Column, Column], Column]) -> DataFrame:
+    """A metric of one's own per group: ``metric`` makes an aggregate of the columns of scores and targets.
+
+    As an aggregate it is combined before the shuffle, so a group may hold any share of the rows.
+    """
+    known = predictions.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), metric(F.col(score), F.col(target)).alias("score"))
+
+
+def binary_target(df: DataFrame, target: str, both: bool = True) -> None:
+    """Raises where a known target isn't 0 or 1 or, with ``both``, where a class is missing."""
+    value = F.col(target).cast("double")
+    row = df.agg(F.count_if(F.col(target).isNotNull() & (value.isNull() | ~value.isin(0.0, 1.0))).alias("odd"), F.count_if(value == 0).alias("n0"), F.count_if(value == 1).alias("n1")).first()
+    if row["odd"] or (both and not (row["n0"] and row["n1"])):
+        raise ValueError(f"{row['odd']} targets are neither 0 nor 1; {row['n0']} are 0, {row['n1']} are 1")

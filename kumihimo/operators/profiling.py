@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -163,3 +164,11 @@ def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def ks_p_value(statistic: float, n1: int, n2: int) -> float:
+    """Two-sided p-value of a two-sample KS statistic by its limit distribution; 1 without rows."""
+    if not n1 or not n2 or statistic <= 0:
+        return 1.0
+    x = statistic * (n1 * n2 / (n1 + n2)) ** 0.5
+    if x < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))

@@ -108,3 +108,42 @@ def theme_long(joined: DataFrame) -> DataFrame:
         "is_high_app": F.col("ai_applicability") == 2,
         "is_u99": F.col("ai_usecase") == NO_USE,
     })
+
+
+def merge_taxonomy(projects: DataFrame, labels: DataFrame, complete: bool = True) -> DataFrame:
+    """``join_taxonomy``, checked: keys once on both sides and, if ``complete``, each key on both.
+
+    ValueError otherwise, and where the years of the sides disagree.
+    """
+    from kumihimo.operators.joins import checked_join, require_columns
+
+    on = ["source_split", "project_id"]
+    require_columns(projects, [*on, "project_start_year"], ["project_key", "label_year", "use_cases"])
+    require_columns(labels, [*on, "project_start_year", "use_cases"])
+    right = labels.select(*on, F.col("project_start_year").alias("label_year"), "policy_domain", "admin_process", "use_cases", "ai_applicability")
+    joined = checked_join(projects.drop("policy_domain"), right, on, complete=complete)
+    odd = joined.where(F.col("project_start_year").try_cast("double") != F.col("label_year")).count()
+    if odd:
+        raise ValueError(f"year_mismatch={odd}")
+    return joined.drop("project_start_year").withColumnRenamed("label_year", "project_start_year").withColumn("project_key", F.concat_ws("::", *on))
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, split: str) -> DataFrame:
+    """All rows of one split, with the labels of their project where there are any; labels once for each project."""
+    from kumihimo.operators.joins import checked_join
+
+    own = labels.where(F.col("source_split") == split).select("project_id", "policy_domain", "admin_process", "use_cases", "ai_applicability")
+    return checked_join(rows.drop("policy_domain", "admin_process", "use_cases", "ai_applicability"), own, ["project_id"], "left", "many_to_one")
+
+
+def checked_theme_long(joined: DataFrame) -> DataFrame:
+    """``theme_long``; ValueError where a project has a theme twice, no theme, or an unknown code."""
+    long = theme_long(joined)
+    if n := long.groupBy("project_key", "theme_code").agg(F.count("*").alias("_n")).where("_n > 1").count():
+        raise ValueError(f"{n} projects have a theme twice")
+    codes = F.col("ai_usecase").isin(USE_CASES) & F.col("admin_process").isin(PROCESSES)
+    if n := long.where(~F.coalesce(codes, F.lit(False))).count():
+        raise ValueError(f"{n} rows have an unknown code")
+    if n := joined.where(F.coalesce(F.size("use_cases"), F.lit(0)) < 1).count():
+        raise ValueError(f"{n} projects have no use case")
+    return long

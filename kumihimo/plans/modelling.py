@@ -69,6 +69,31 @@ def svd_gbt_oof(spark: SparkSession, base: str) -> DataFrame:
     return oof(spark, base, "S2_tfidf_svd_embedding_tabular_gbt")
 
 
+@query("embedding_tabular_mlp_oof")
+def embedding_tabular_mlp_oof(spark: SparkSession, base: str) -> DataFrame:
+    return oof(spark, base, "E4_embedding_tabular_mlp")
+
+
+@query("embedding_tabular_gbt_oof")
+def embedding_tabular_gbt_oof(spark: SparkSession, base: str) -> DataFrame:
+    return oof(spark, base, "E6_embedding_tabular_gbt")
+
+
+@query("tfidf_tabular_lr_oof")
+def tfidf_tabular_lr_oof(spark: SparkSession, base: str) -> DataFrame:
+    return oof(spark, base, "T2_tfidf_tabular_lr")
+
+
+@query("tfidf_embedding_tabular_lr_oof")
+def tfidf_embedding_tabular_lr_oof(spark: SparkSession, base: str) -> DataFrame:
+    return oof(spark, base, "T3_tfidf_embedding_tabular_lr")
+
+
+@query("svd_mlp_oof")
+def svd_mlp_oof(spark: SparkSession, base: str) -> DataFrame:
+    return oof(spark, base, "S1_tfidf_svd_embedding_tabular_mlp")
+
+
 @query("test_predictions")
 def test_predictions(spark: SparkSession, base: str) -> DataFrame:
     """Predictions for test by a logistic regression on all labelled rows."""
@@ -90,8 +115,10 @@ def embedding_pca(spark: SparkSession, base: str) -> DataFrame:
     SELECT model AS experiment, round(avg(auc), 6) AS mean_score, round(max_by(auc, validation_year), 6) AS latest_score, count(auc) AS n_folds FROM a WHERE auc IS NOT NULL GROUP BY ALL""",
 )
 def experiment_summary(spark: SparkSession, base: str) -> DataFrame:
-    per = f.fold_scores(scored(spark, base), "score", "target", ["validation_year", "model"]).where("auc IS NOT NULL")
-    return rounded(per.groupBy(F.col("model").alias("experiment")).agg(F.avg("auc").alias("mean_score"), F.max_by("auc", "validation_year").alias("latest_score"), F.count("auc").alias("n_folds")))
+    per = f.fold_scores(scored(spark, base), "score", "target", ["validation_year", "model"])
+    metrics = written(per.select(F.col("model").alias("experiment"), "validation_year", F.col("auc").alias("score")))
+    years = [r[0] for r in metrics.select("validation_year").distinct().orderBy("validation_year").collect()]
+    return rounded(en.experiment_summary(metrics, years).where("n_folds > 0").select("experiment", "mean_score", "latest_score", "n_folds"))
 
 
 @query("oof_long", "SELECT row_id, validation_year, model, score FROM oof_predictions UNPIVOT (score FOR model IN (model_a, model_b)) WHERE NOT isnan(score)")
@@ -132,10 +159,17 @@ def shared_rows(spark: SparkSession, base: str) -> DataFrame:
     return rows.join(usable.select("validation_year"), "validation_year")
 
 
+@query("hill_climb_rank")
+def hill_climb_rank(spark: SparkSession, base: str) -> DataFrame:
+    """The blend of ranks within folds by the pooled AUC: steps and final weights."""
+    result = en.hill_climb(shared_rows(spark, base), ["model_a", "model_b"], "target", "validation_year", mode="rank")
+    return spark.createDataFrame([(*h, result.weights[h[1]]) for h in result.history], "step int, added_model string, alpha double, score double, final_weight double")
+
+
 @query("hill_climb")
 def hill_climb(spark: SparkSession, base: str) -> DataFrame:
     """Steps of the greedy blend, and the weights it ends with."""
-    result = en.hill_climb(shared_rows(spark, base), ["model_a", "model_b"], "target", "validation_year")
+    result = en.hill_climb(shared_rows(spark, base), ["model_a", "model_b"], "target", "validation_year", objective="mean_fold_auc")
     rows = [(s, m, a, v, result.weights[m]) for s, m, a, v in result.history]
     return spark.createDataFrame(rows, "step int, added_model string, alpha double, score double, final_weight double")
 

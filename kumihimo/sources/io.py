@@ -69,3 +69,50 @@ def write_profiles(submissions: dict[str, tuple[dict[str, float], DataFrame]], i
 def append_failures(df: DataFrame, path: str) -> None:
     """Failed requests as JSON lines, without the text that was sent."""
     df.drop("text").write.mode("append").json(path)
+
+
+def write_fold_features(features: DataFrame, path: str) -> None:
+    """Features and predictions of every fold, by fold, validation year and role."""
+    features.write.mode("overwrite").partitionBy("fold", "validation_year", "role").parquet(path)
+
+
+def write_wide_vectors(rows: DataFrame, id_column: str, vector: str, prefix: str, dimension: int, path: str) -> None:
+    """One column for each of ``dimension`` elements of an array, prefix_000 and so on, and row_index."""
+    cells = [F.get(F.col(vector), F.lit(i)).alias(f"{prefix}_{i:03d}") for i in range(dimension)]
+    write_csv(rows.select(F.col(id_column).alias("row_index"), *cells), path, "gzip")
+
+
+def write_experiments(oof: DataFrame, metrics: DataFrame, summary: DataFrame, path: str) -> None:
+    """Out-of-fold predictions, fold metrics and their summary, each as Parquet and CSV."""
+    for name, df in (("oof", oof), ("fold_metrics", metrics), ("summary", summary)):
+        write_parquet(df, f"{path}/{name}.parquet")
+        write_csv(df, f"{path}/{name}.csv")
+
+
+def write_ensemble(blend, id_column: str, path: str) -> None:
+    """Weights, history, fold scores and a summary as CSV, the blended predictions as Parquet."""
+    spark = blend.prediction.sparkSession
+    tables = {
+        "weights": ([(k, float(v)) for k, v in blend.weights.items()], "model string, weight double"),
+        "history": ([tuple(h) for h in blend.history], "step int, added_model string, alpha double, score double"),
+        "fold_scores": ([(str(k), float(v)) for k, v in blend.fold_scores.items()], "fold string, score double"),
+        "summary": ([(float(blend.score), len(blend.history) - 1, sum(w > 0 for w in blend.weights.values()))], "score double, steps int, models int"),
+    }
+    for name, (rows, schema) in tables.items():
+        write_csv(spark.createDataFrame(rows, schema).coalesce(1), f"{path}/{name}")
+    write_parquet(blend.prediction.select(id_column, "prediction"), f"{path}/predictions")
+
+
+def write_progress(spark: SparkSession, path: str, **counters) -> None:
+    """Counters and spending of a run as one JSON object, replaced at every call."""
+    spark.createDataFrame([(json.dumps(counters, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def percent(c, digits: int = 1):
+    """A rate as text, such as 12.5%."""
+    return F.format_string(f"%.{digits}f%%", F.col(c) * 100 if isinstance(c, str) else c * 100)
+
+
+def thousands(c, digits: int = 0):
+    """A number as text with separators, such as 1,234."""
+    return F.format_number(c, digits)
