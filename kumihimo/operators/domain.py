@@ -37,7 +37,7 @@ def chosen_rows(long: DataFrame, themes: Sequence[str]) -> DataFrame:
     rows = long.where(F.col("theme_code").isin(wanted))
     seen = {r[0] for r in rows.select("theme_code").distinct().collect()}
     if missing := [t for t in wanted if t not in seen]:
-        raise ValueError(f"selected themes are not observed: {missing}")
+        raise ValueError(f"no project has these themes: {missing}")
     return rows
 
 
@@ -53,7 +53,7 @@ def domain_metrics(long: DataFrame, themes: Sequence[str], recent_years: int = 2
     are missing; rates over nothing are NULL.
     """
     if recent_years <= 0:
-        raise ValueError("recent_years must be positive")
+        raise ValueError("the recent span needs one year or more")
     if prior_strength < 0:
         raise ValueError("prior_strength must not be negative")
     rows = chosen_rows(long, themes)
@@ -108,7 +108,7 @@ def effective_weights(metrics: DataFrame, weights: Mapping[str, float] = WEIGHTS
     has = metrics.where("ranking_eligible").agg(*[F.count(v).alias(n) for n, v in component_inputs().items()]).first()
     kept = sum(w for n, w in weights.items() if has[n])
     if kept <= 0:
-        raise ValueError("no scoring component is available")
+        raise ValueError("nothing is left to score by")
     rows = [(n, w, w / kept if has[n] else 0.0) for n, w in weights.items()]
     return metrics.sparkSession.createDataFrame(rows, "component string, weight double, effective_weight double")
 

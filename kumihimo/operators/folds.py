@@ -47,7 +47,7 @@ def validation_years(df: DataFrame, year: str, n_years: int = 3, invalid_year: i
     no fold, and folds are numbered without it. Fewer years than asked for are a warning.
     """
     if isinstance(n_years, bool) or n_years <= 0:
-        raise ValueError("n_valid_years must be greater than 0")
+        raise ValueError("at least one validation year is needed")
     years = [r[0] for r in eligible(df, year, invalid_year).select("_year").distinct().orderBy(F.desc("_year")).limit(n_years + 1).collect()]
     if not years:
         raise ValueError(f"no valid years remain in {year!r}")

@@ -29,7 +29,7 @@ PROFILES = {
 def check_weights(weights: Mapping[str, float], names: Sequence[str]) -> None:
     """Exactly the named weights, finite and not negative, that sum to 1."""
     if set(weights) != set(names):
-        raise ValueError(f"weights must contain exactly {sorted(names)}")
+        raise ValueError(f"these weights are needed, and no others: {sorted(names)}")
     if any(not 0 <= w < float("inf") for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-8:
         raise ValueError("weights must be finite, not negative and sum to 1.0")
 

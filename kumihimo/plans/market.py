@@ -8,8 +8,8 @@ from kumihimo.operators import domain as d, market as m, taxonomy as t
 from kumihimo.plans.registry import query
 from kumihimo.sources.shared import table, written
 
-#: Themes of the domain queries: the processes seen most, with a real use case each.
-CHOSEN = ["A01__U05", "A01__U06", "A02__U08"]
+#: The domain queries are about so many themes, the first by strategic score.
+LEADING = 3
 
 _FIT = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in (m.PROCESS_FIT | m.USE_CASE_FIT).items()) + " END"
 
@@ -96,6 +96,11 @@ SCORED = (
 )"""
 )
 _WEIGHTED = {n: " + ".join(f"{w!r} * s{i}" for i, w in enumerate(p, 1)) for n, p in m.PROFILES.items()}
+LEADERS = (
+    SCORED
+    + f"""
+, leaders AS (SELECT theme_code FROM (SELECT *, {_WEIGHTED['strategic']} AS score FROM comp WHERE ranking_eligible) ORDER BY round(score, 9) DESC, theme_code LIMIT {LEADING})"""
+)
 
 
 def labels(spark: SparkSession, base: str) -> DataFrame:
@@ -120,8 +125,15 @@ def themes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def chosen(spark: SparkSession, base: str) -> DataFrame:
-    """Rows of the chosen themes, written once."""
-    return written(long(spark, base).where(F.col("theme_code").isin(CHOSEN)))
+    """Rows of the leading themes, written once."""
+    rows = written(long(spark, base))
+    return written(rows.join(F.broadcast(leading(rows).select("theme_code")), "theme_code", "left_semi"))
+
+
+def leading(rows: DataFrame) -> DataFrame:
+    """The first LEADING themes by strategic score, ties by code."""
+    scored = m.theme_scores(m.theme_metrics(rows.select(*THEME_COLUMNS))).where("ranking_eligible")
+    return scored.orderBy(F.round("strategic_score", 9).desc(), "theme_code").limit(LEADING)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -275,10 +287,10 @@ def trend_grid(spark: SparkSession, base: str) -> DataFrame:
     return rounded(m.year_theme_grid(rows, top))
 
 
-_CHOSEN = "(" + ", ".join(f"'{x}'" for x in CHOSEN) + ")"
+_CHOSEN = "(SELECT theme_code FROM leaders)"
 _BUDGET = "CASE WHEN is_high_app AND budget >= 0 AND NOT isnan(budget) AND abs(budget) < 'infinity'::DOUBLE THEN budget END"
 DOMAIN = (
-    BASE
+    LEADERS
     + f"""
 , sel AS (SELECT *, {_BUDGET} AS b FROM theme WHERE theme_code IN {_CHOSEN})
 , yr AS (SELECT max(project_start_year) - 1 AS r, max(project_start_year) - 3 AS p FROM sel)
@@ -306,8 +318,8 @@ _DOMAIN_DOUBLES = ["high_app_rate", "high_app_rate_smoothed", "ministry_hhi", "h
 
 
 def observed(rows: DataFrame) -> list[str]:
-    seen = {r[0] for r in rows.where(F.col("theme_code").isin(CHOSEN)).select("theme_code").distinct().collect()}
-    return [x for x in CHOSEN if x in seen]
+    """The leading themes, at most LEADING."""
+    return sorted(r[0] for r in rows.select("theme_code").distinct().collect())
 
 
 def domain_metrics_of(spark: SparkSession, base: str) -> DataFrame:
@@ -345,7 +357,7 @@ def domain_effective_weights(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "domain_yearly",
-    f"""WITH {BASE} SELECT project_start_year, theme_code, policy_domain, count(DISTINCT project_key) AS project_count, count(DISTINCT CASE WHEN is_high_app THEN project_key END) AS high_app_project_count,
+    f"""WITH {LEADERS} SELECT project_start_year, theme_code, policy_domain, count(DISTINCT project_key) AS project_count, count(DISTINCT CASE WHEN is_high_app THEN project_key END) AS high_app_project_count,
     round(count(DISTINCT CASE WHEN is_high_app THEN project_key END) / count(DISTINCT project_key), 6) AS high_app_rate FROM theme WHERE theme_code IN {_CHOSEN} GROUP BY ALL""",
 )
 def domain_yearly(spark: SparkSession, base: str) -> DataFrame:
@@ -354,7 +366,7 @@ def domain_yearly(spark: SparkSession, base: str) -> DataFrame:
 
 
 ACCOUNTS = (
-    BASE
+    LEADERS
     + f""", ac AS (SELECT theme_code, policy_domain, responsible_ministry, count(*) AS project_count, count(*) FILTER (is_high_app) AS high_app_project_count,
    sum({_BUDGET}) AS high_app_budget_total, max(project_start_year) AS latest_observed_year FROM theme WHERE theme_code IN {_CHOSEN} AND responsible_ministry IS NOT NULL GROUP BY ALL)
 , ar AS (SELECT *, rank() OVER (PARTITION BY theme_code, policy_domain ORDER BY high_app_project_count DESC) AS account_rank_within_theme_domain FROM ac)"""
@@ -410,13 +422,13 @@ def representative_projects(spark: SparkSession, base: str) -> DataFrame:
     f"""WITH {DOMAIN_SCORED}, ac AS (SELECT theme_code, policy_domain, responsible_ministry, count(*) FILTER (is_high_app) AS h FROM sel WHERE responsible_ministry IS NOT NULL GROUP BY ALL),
     o AS (SELECT *, row_number() OVER (PARTITION BY theme_code, policy_domain ORDER BY h DESC, responsible_ministry) AS k_ FROM ac),
     p AS (SELECT theme_code, policy_domain, string_agg(responsible_ministry, ' / ' ORDER BY k_) AS priority_ministries, sum(h)::BIGINT AS priority_high_app_count FROM o WHERE k_ <= 3 GROUP BY ALL)
-    SELECT theme_code, policy_domain, portfolio_rank, priority_ministries, priority_high_app_count FROM dr JOIN p USING (theme_code, policy_domain) WHERE ranking_eligible""",
+    SELECT theme_code, policy_domain, portfolio_rank, priority_ministries, priority_high_app_count FROM dr LEFT JOIN p USING (theme_code, policy_domain) WHERE ranking_eligible""",
 )
 def portfolio(spark: SparkSession, base: str) -> DataFrame:
     """Scored domains with their first accounts."""
     rows = chosen(spark, base)
     scored = d.domain_scores(d.domain_metrics(rows, observed(rows))).where("ranking_eligible").select("theme_code", "policy_domain", "portfolio_rank")
-    return scored.join(d.priority_accounts(d.ministry_accounts(rows, observed(rows))), ["theme_code", "policy_domain"])
+    return scored.join(d.priority_accounts(d.ministry_accounts(rows, observed(rows))), ["theme_code", "policy_domain"], "left")
 
 
 @query(
@@ -434,8 +446,7 @@ def population_diagnostics(spark: SparkSession, base: str) -> DataFrame:
     ))
 
 
-@query("top_themes", f"WITH {SCORED}, w AS (SELECT *, {_WEIGHTED['strategic']} AS score FROM comp WHERE ranking_eligible) SELECT theme_code, round(score, 6) AS strategic_score FROM w ORDER BY round(score, 9) DESC, theme_code LIMIT 3")
+@query("top_themes", f"WITH {SCORED}, w AS (SELECT *, {_WEIGHTED['strategic']} AS score FROM comp WHERE ranking_eligible) SELECT theme_code, round(score, 6) AS strategic_score FROM w ORDER BY round(score, 9) DESC, theme_code LIMIT {LEADING}")
 def top_themes(spark: SparkSession, base: str) -> DataFrame:
     """The three themes that a portfolio starts from."""
-    scored = m.theme_scores(m.theme_metrics(themes(spark, base))).where("ranking_eligible")
-    return rounded(scored.orderBy(F.round("strategic_score", 9).desc(), "theme_code").limit(3).select("theme_code", "strategic_score"))
+    return rounded(leading(themes(spark, base)).select("theme_code", "strategic_score"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kumihimo.functions import text as x
 from kumihimo.operators import embedding as emb, labelling, tabular, tfidf
-from kumihimo.plans.market import BASE, CHOSEN, long, projects, rounded
+from kumihimo.plans.market import LEADERS, chosen, projects, rounded
 from kumihimo.plans.registry import query
 from kumihimo.sources.shared import table, written
 
@@ -61,17 +61,17 @@ def text_statistics(spark: SparkSession, base: str) -> DataFrame:
 
 _PARTS = "concat_ws(' ', " + ", ".join(f"CASE WHEN {n(c)} <> '' THEN '{c}: ' || {n(c)} END" for c in TEXTS) + ")"
 _TEXT = f"CASE WHEN {_PARTS} = '' THEN '[EMPTY]' ELSE {_PARTS} END"
-INPUTS = f"i AS (SELECT row_id, whole, substr(whole, 1, 300) AS text FROM (SELECT row_id, {_TEXT} AS whole FROM train))"
+INPUTS = f"i AS (SELECT row_id, whole, substr(whole, 1, 8000) AS text FROM (SELECT row_id, {_TEXT} AS whole FROM train))"
 
 
 def inputs(spark: SparkSession, base: str) -> DataFrame:
-    return emb.prepared_inputs(table(spark, base, "train"), "row_id", TEXTS, 200, 1.5, normal_form=False)
+    return emb.prepared_inputs(table(spark, base, "train"), "row_id", TEXTS, 8000, 1.0, normal_form=False)
 
 
 @query(
     "text_hashes",
-    f"""WITH {INPUTS} SELECT row_id, sha256(text) AS text_hash, length(text)::INT AS character_count, greatest(ceil(length(text) / 1.5), 1)::BIGINT AS estimated_tokens,
-    greatest(ceil(length(whole) / 1.5), 1)::BIGINT AS original_estimated_tokens, length(whole) > 300 AS truncated FROM i""",
+    f"""WITH {INPUTS} SELECT row_id, sha256(text) AS text_hash, length(text)::INT AS character_count, greatest(ceil(length(text) / 1.0), 1)::BIGINT AS estimated_tokens,
+    greatest(ceil(length(whole) / 1.0), 1)::BIGINT AS original_estimated_tokens, length(whole) > 8000 AS truncated FROM i""",
 )
 def text_hashes(spark: SparkSession, base: str) -> DataFrame:
     return inputs(spark, base).drop("text")
@@ -79,8 +79,8 @@ def text_hashes(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "embedding_text_report",
-    f"""WITH {INPUTS} SELECT count(*) AS total_rows, count(*) FILTER (text = '[EMPTY]') AS empty_text_rows, count(*) FILTER (length(whole) > 300) AS truncated_rows,
-    sum(greatest(ceil(length(text) / 1.5), 1))::BIGINT AS total_estimated_tokens, sum(greatest(ceil(length(whole) / 1.5), 1))::BIGINT AS original_estimated_tokens,
+    f"""WITH {INPUTS} SELECT count(*) AS total_rows, count(*) FILTER (text = '[EMPTY]') AS empty_text_rows, count(*) FILTER (length(whole) > 8000) AS truncated_rows,
+    sum(greatest(ceil(length(text) / 1.0), 1))::BIGINT AS total_estimated_tokens, sum(greatest(ceil(length(whole) / 1.0), 1))::BIGINT AS original_estimated_tokens,
     min(length(text))::INT AS min_text_characters, median(length(text))::DOUBLE AS median_text_characters, max(length(text))::INT AS max_text_characters FROM i""",
 )
 def embedding_text_report(spark: SparkSession, base: str) -> DataFrame:
@@ -109,38 +109,51 @@ def label_requests(spark: SparkSession, base: str) -> DataFrame:
 
 #: Documents of the n-gram queries: project names, in lower case with runs of blanks as one.
 _NAME = f"regexp_replace(lower(coalesce(project_name, '')), '{BLANK}{{2,}}', ' ', 'g')"
-COUNTS = f"""d AS (SELECT row_id, {_NAME} AS t FROM train), g AS (SELECT row_id, n, unnest(generate_series(1, length(t) - n + 1)) AS i, t FROM d, (SELECT unnest([2, 3]) AS n) WHERE length(t) >= n),
+COUNTS = f"""d AS (SELECT row_id, {_NAME} AS t FROM train), g AS (SELECT row_id, n, unnest(generate_series(1, length(t) - n + 1)) AS i, t FROM d, (SELECT unnest([2, 3, 4, 5]) AS n) WHERE length(t) >= n),
 c AS (SELECT row_id, substr(t, i, n) AS term, count(*) AS n FROM g GROUP BY ALL)"""
-TFIDF = COUNTS + """, vo AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf, sum(n) AS total FROM c GROUP BY ALL HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 1500),
+TFIDF = COUNTS + """, vo AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf, sum(n) AS total FROM c GROUP BY ALL HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 300000),
 w AS (SELECT row_id, term, (1 + ln(n)) * idf AS w FROM c JOIN vo USING (term)), f AS (SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS weight FROM w)"""
 
 
 @query("char_tfidf", f"WITH {TFIDF} SELECT row_id, term, round(weight, 6) AS weight FROM f")
 def char_tfidf(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "train")
-    counts = tfidf.term_counts(rows, "row_id", "project_name", 2, 3)
-    return rounded(tfidf.transform(counts, tfidf.fit_vocabulary(counts, rows.count(), 2, 1.0, 1500)))
+    counts = tfidf.term_counts(rows, "row_id", "project_name", 2, 5)
+    return rounded(tfidf.transform(counts, tfidf.fit_vocabulary(counts, rows.count(), 2, 1.0, 300_000)))
+
+
+@query("text_tfidf")
+def text_tfidf(spark: SparkSession, base: str) -> DataFrame:
+    """Weights of all four text columns, each with its own vocabulary: row_id, feature (column__gram), weight."""
+    rows = table(spark, base, "train")
+    n, out = rows.count(), None
+    for c in TEXTS:
+        counts = tfidf.term_counts(rows, "row_id", c, 2, 5)
+        weights = tfidf.transform(counts, tfidf.fit_vocabulary(counts, n, 2, 1.0, 300_000))
+        named = weights.select("row_id", F.concat(F.lit(f"{c}__"), "term").alias("feature"), "weight")
+        out = named if out is None else out.unionByName(named)
+    return out
 
 
 @query(
     "distinctive_ngrams",
-    f"""WITH {BASE}, dd AS (SELECT t.theme_code, t.project_key, lower(concat_ws('。', coalesce(p.project_name, ''), coalesce(p.current_issues, ''))) AS t0 FROM theme t JOIN projects p USING (source_split, project_id)
-      WHERE theme_code IN ({', '.join(f"'{c}'" for c in CHOSEN)})), d AS (SELECT theme_code, theme_code || '/' || project_key AS id, regexp_replace(t0, '{BLANK}{{2,}}', ' ', 'g') AS t FROM dd),
-    g AS (SELECT id, n, unnest(generate_series(1, length(t) - n + 1)) AS i, t FROM d, (SELECT unnest([2, 3]) AS n) WHERE length(t) >= n),
-    c AS (SELECT id, substr(t, i, n) AS term, count(*) AS n FROM g GROUP BY ALL), z AS (SELECT count(*) AS n FROM d),
-    vo AS (SELECT term, ln((1 + (SELECT n FROM z)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY ALL HAVING count(*) >= 3 AND count(*) <= 0.95 * (SELECT n FROM z)),
-    w AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM c JOIN vo USING (term)), f AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w),
-    s AS (SELECT theme_code, term, sum(weight) AS s FROM f JOIN d USING (id) GROUP BY ALL), a AS (SELECT term, sum(s) AS t FROM s GROUP BY ALL), k AS (SELECT theme_code, count(*) AS document_count FROM d GROUP BY ALL),
-    m AS (SELECT theme_code, term, document_count, s / document_count AS mean_tfidf, s / document_count - (t - s) / ((SELECT n FROM z) - document_count) AS distinctiveness FROM s JOIN a USING (term) JOIN k USING (theme_code)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY theme_code ORDER BY round(distinctiveness, 12) DESC, term) AS phrase_rank FROM m WHERE distinctiveness > 0 AND regexp_full_match(term, '[0-9A-Za-zぁ-んァ-ヶ一-龥ー]+'))
-    SELECT theme_code, phrase_rank, term AS phrase, round(mean_tfidf, 6) AS mean_tfidf, round(distinctiveness, 6) AS distinctiveness, document_count FROM r WHERE phrase_rank <= 15""",
+    f"""WITH {LEADERS}, dd AS (SELECT t.theme_code, t.policy_domain, t.project_key, lower(concat_ws('。', {', '.join(f"coalesce(p.{c}, '')" for c in TEXTS)})) AS t0 FROM theme t JOIN projects p USING (source_split, project_id)
+      WHERE theme_code IN (SELECT theme_code FROM leaders)), d AS (SELECT theme_code, policy_domain, theme_code || '/' || project_key AS id, regexp_replace(t0, '{BLANK}{{2,}}', ' ', 'g') AS t FROM dd),
+    g AS (SELECT id, n, unnest(generate_series(1, length(t) - n + 1)) AS i, t FROM d, (SELECT unnest([2, 3, 4, 5]) AS n) WHERE length(t) >= n),
+    cn AS (SELECT id, substr(t, i, n) AS term, count(*) AS n FROM g GROUP BY ALL), z AS (SELECT count(*) AS n FROM d),
+    vo AS (SELECT term, ln((1 + (SELECT n FROM z)) / (1 + count(*))) + 1 AS idf FROM cn GROUP BY ALL HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM z)),
+    w AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM cn JOIN vo USING (term)), f AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w),
+    s AS (SELECT theme_code, policy_domain, term, sum(weight) AS s FROM f JOIN d USING (id) GROUP BY ALL), al AS (SELECT term, sum(s) AS t FROM s GROUP BY ALL), k AS (SELECT theme_code, policy_domain, count(*) AS document_count FROM d GROUP BY ALL),
+    m AS (SELECT theme_code, policy_domain, term, document_count, s / document_count AS mean_tfidf, s / document_count - coalesce((t - s) / nullif((SELECT n FROM z) - document_count, 0), 0) AS distinctiveness FROM s JOIN al USING (term) JOIN k USING (theme_code, policy_domain)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY theme_code, policy_domain ORDER BY round(distinctiveness, 12) DESC, term) AS phrase_rank FROM m WHERE distinctiveness > 0 AND regexp_full_match(term, '[0-9A-Za-zぁ-んァ-ヶ一-龥ー]+'))
+    SELECT theme_code, policy_domain, phrase_rank, term AS phrase, round(mean_tfidf, 6) AS mean_tfidf, round(distinctiveness, 6) AS distinctiveness, document_count FROM r WHERE phrase_rank <= 15""",
 )
 def distinctive_ngrams(spark: SparkSession, base: str) -> DataFrame:
-    texts = projects(spark, base).select("source_split", "project_id", "project_name", F.col("current_issues").alias("issues"))
-    rows = long(spark, base).where(F.col("theme_code").isin(CHOSEN)).join(texts, ["source_split", "project_id"])
-    text = F.lower(F.concat_ws("。", F.coalesce("project_name", F.lit("")), F.coalesce("issues", F.lit(""))))
-    docs = rows.select("theme_code", F.concat_ws("/", "theme_code", "project_key").alias("id"), text.alias("text"))
-    return rounded(tfidf.distinctive_ngrams(docs, ["theme_code"], "id", "text", 2, 3))
+    texts = projects(spark, base).select("source_split", "project_id", *[F.col(c).alias(f"_{c}") for c in TEXTS])
+    rows = chosen(spark, base).join(texts, ["source_split", "project_id"])
+    text = F.lower(F.concat_ws("。", *[F.coalesce(f"_{c}", F.lit("")) for c in TEXTS]))
+    docs = written(rows.select("theme_code", "policy_domain", F.concat_ws("/", "theme_code", "project_key").alias("id"), text.alias("text")))
+    return rounded(tfidf.distinctive_ngrams(docs, ["theme_code", "policy_domain"], "id", "text", 2, 5, 2))
 
 
 @query("resumable_embeddings")

@@ -67,7 +67,7 @@ def test_domain_metrics_by_hand(long):
     assert got["D01"]["high_app_rate_smoothed"] == pytest.approx((1 + 10 * 2 / 3) / 12)
     assert got["D01"]["high_app_budget_total"] == 100 and got["D01"]["issue_coverage_rate"] == pytest.approx(0.5)
     assert got["D02"]["issue_coverage_rate"] == 0 and got["D02"]["high_app_top3_budget_share"] == pytest.approx(1)
-    with pytest.raises(ValueError, match="not observed"):
+    with pytest.raises(ValueError, match="no project has"):
         d.domain_metrics(long, ["A09__U01"])
 
 
