@@ -10,9 +10,12 @@ before that by ``clear``.
 from __future__ import annotations
 
 import atexit
+import io
 import itertools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,4 +63,30 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, wherever the driver was started: once a session.
+
+    A zip of the sources is put into the session's shared folder, from which Spark hands it out.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    target = f"{session_folder(spark)}/{root.name}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    sc.addPyFile(target)
