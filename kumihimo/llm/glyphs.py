@@ -56,8 +56,10 @@ RE_BLANKS = re.compile("[   -   　]")
 RE_LINE_BREAKS = re.compile("[\u0085  ]")
 RE_DASH = re.compile(f"(?<=[ァ-ヺーｦ-ﾟ゙゚])[{DASHES}]+")
 RE_OTHER_DASH = re.compile(f"[{DASHES}]")
-#: A word with a letter of Greek, Cyrillic or Cherokee; whether all of those look like Latin ones decides what it is.
-RE_OTHER_WORD = re.compile("[A-Za-z0-9Ͱ-ϿЀ-ԯᎠ-ᏽ]*[Ͱ-ϿЀ-ԯᎠ-ᏽ][A-Za-z0-9Ͱ-ϿЀ-ԯᎠ-ᏽ]*")
+#: Letters of Greek, Cyrillic or Cherokee, and the words of these and Latin letters; whether all
+#: of them look like Latin ones decides what a word is.
+RE_OTHER = re.compile("[Ͱ-ϿЀ-ԯᎠ-ᏽ]")
+RE_WORD = re.compile("[A-Za-z0-9À-ſ\u0300-\u036fͰ-ϿЀ-ԯᎠ-ᏽ]+")
 RE_RADICAL = re.compile("[" + "".join(RADICALS) + "]")
 RE_PROTECT = re.compile(f"[{KEPT_MARKS}]")
 
@@ -95,9 +97,9 @@ def _protected_nfkc(text: str) -> str:
 
 
 def _latin_word(m: re.Match) -> str:
-    """A word of look-alikes in Latin letters; words of another script, and single small letters, as they are."""
+    """A word of look-alikes in Latin letters; words of another script, and single small Greek letters, as they are."""
     word = m.group()
-    if any(c > "\u036f" and c not in LATIN_LOOKALIKES for c in word) or (len(word) == 1 and word.islower()):
+    if not RE_OTHER.search(word) or any(c > "\u036f" and c not in LATIN_LOOKALIKES for c in word) or (len(word) == 1 and word.islower() and word < "\u0400"):
         return word
     return "".join(LATIN_LOOKALIKES.get(c, c) for c in word)
 
@@ -111,7 +113,8 @@ def clean(text: str) -> str:
     text = RE_OTHER_DASH.sub("-", RE_DASH.sub("ー", text))
     text = RE_RADICAL.sub(lambda m: RADICALS[m.group()], text)
     text = _protected_nfkc(text)
-    text = RE_OTHER_WORD.sub(_latin_word, text)
+    if RE_OTHER.search(text):
+        text = RE_WORD.sub(_latin_word, text)
     text = RE_SHAPES.sub(lambda m: KANJI_TO_KANA.get(m.group()) or HIRA_TO_KATA[m.group()], text)
     text = RE_KANA_ALONE.sub(lambda m: KANA_TO_KANJI[m.group()], text)
     text = RE_BAR_ALONE.sub("一", text)
