@@ -2,23 +2,26 @@
 
 Items are dealt by a hash of their id into blocks of about ``BLOCK`` items, each packed on
 its own; a block wastes at most about one container, so the loss falls as the block grows,
-and blocks are packed in parallel. In a block the largest item left opens a container, and
-the undominated fillings around it are searched by branch and bound: a filling is dominated
-if another fits the same room with less waste; a branch is cut when the room it can still
-fill, bounded by the sizes left, can't beat the best-fit filling, which is the incumbent.
-An item above the capacity is split into full containers and a rest that is packed.
+and blocks are packed in parallel. A block's incumbent is its best-fit solution; where that
+needs as many containers as the sum of sizes does at least, nothing can be better and the
+search is cut. Otherwise the largest item left opens a container, and fillings around it are
+searched by branch and bound: a branch is cut when the room it can still fill, bounded by the
+sizes left, can't waste less than the best filling so far. Fillings are tried from the largest
+sizes down and replaced only by less waste, so a filling that another dominates, by holding a
+larger item in place of smaller ones, is never preferred to it. The solution with fewer
+containers is kept. An item above the capacity is split into full containers and a rest.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Items of a block on average; a block's size in memory is bounded by it.
 BLOCK = 2000
-#: Nodes that the search around one item may visit before it keeps the incumbent.
+#: Nodes that the search around one item may visit before it keeps its best filling; 0 for all.
 NODES = 400
 
 
@@ -28,7 +31,7 @@ def complete(room: int, sizes: list[int], counts: list[int], nodes: int = NODES)
     Depth first from the largest size that fits, so the first leaf is the best-fit filling.
     A branch that leaves room in which nothing fits is a maximal filling; branches whose
     room can't be filled to less waste than the incumbent's are pruned. Stops at no waste
-    or after ``nodes`` nodes, with the best filling so far.
+    or, if ``nodes`` isn't 0, after so many nodes, with the best filling so far.
     """
     best: list[int] = []
     best_waste = room
@@ -43,7 +46,7 @@ def complete(room: int, sizes: list[int], counts: list[int], nodes: int = NODES)
             best, best_waste = chosen.copy(), room
             if best_waste == 0:
                 return True
-        if visited >= nodes:
+        if nodes and visited >= nodes:
             return True
         top = min(top, bisect_right(sizes, room) - 1)
         while top >= 0:
@@ -74,7 +77,24 @@ def complete(room: int, sizes: list[int], counts: list[int], nodes: int = NODES)
     return best
 
 
-def pack_block(ids: list[int], sizes: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Indexes of ``sizes`` by container: from the largest on, each into the fullest that has room."""
+    rooms: list[tuple[int, int]] = []  # (room left, container), ascending
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        at = bisect_left(rooms, (sizes[i], -1))
+        if at < len(rooms):
+            room, k = rooms.pop(at)
+        else:
+            room, k = capacity, len(out)
+            out.append([])
+        out[k].append(i)
+        if room > sizes[i]:
+            insort(rooms, (room - sizes[i], k))
+    return out
+
+
+def pack_block(ids: list[int], sizes: list[int], capacity: int, nodes: int = NODES) -> list[tuple[int, int, int, int, int]]:
     """(pack, id, piece, start, length) for every piece of every item of a block."""
     out: list[tuple[int, int, int, int, int]] = []
     pack = 0
@@ -87,11 +107,22 @@ def pack_block(ids: list[int], sizes: list[int], capacity: int) -> list[tuple[in
         if n > start:
             rest.append((n - start, i, piece, start))
     rest.sort(key=lambda x: (x[0], -x[1]))
+    known = best_fit([x[0] for x in rest], capacity)
+    packs = known if len(known) <= -(-sum(x[0] for x in rest) // capacity) else min(known, completed(rest, capacity, nodes), key=len)
+    for items in packs:
+        out += [(pack, rest[k][1], rest[k][2], rest[k][3], rest[k][0]) for k in items]
+        pack += 1
+    return out
+
+
+def completed(rest: list[tuple[int, int, int, int]], capacity: int, nodes: int) -> list[list[int]]:
+    """Indexes of the ascending pieces ``rest`` by container, by bin completion."""
+    out: list[list[int]] = []
     distinct = sorted({x[0] for x in rest})
     of = {n: k for k, n in enumerate(distinct)}
-    stacks: list[list[tuple[int, int, int, int]]] = [[] for _ in distinct]
-    for x in rest:
-        stacks[of[x[0]]].append(x)
+    stacks: list[list[int]] = [[] for _ in distinct]
+    for k, x in enumerate(rest):
+        stacks[of[x[0]]].append(k)
     counts = [len(s) for s in stacks]
     top = len(distinct) - 1
     while top >= 0:
@@ -102,19 +133,15 @@ def pack_block(ids: list[int], sizes: list[int], capacity: int) -> list[tuple[in
         taken = [top]
         room = capacity - distinct[top]
         if room:
-            fits = bisect_right(distinct, room)
-            filling = complete(room, distinct[:fits], counts, NODES)
+            filling = complete(room, distinct[: bisect_right(distinct, room)], counts, nodes)
             for k in filling:
                 counts[k] -= 1
             taken += filling
-        for k in taken:
-            n, i, piece, start = stacks[k].pop()
-            out.append((pack, i, piece, start, n))
-        pack += 1
+        out.append([stacks[k].pop() for k in taken])
     return out
 
 
-def pack(items: DataFrame, capacities: DataFrame, block: int = BLOCK) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, block: int = BLOCK, nodes: int = NODES) -> DataFrame:
     """pack_size_id, pack_id, doc_id, piece, start_token, n_tokens for each capacity.
 
     ``items`` has doc_id and n_tokens, ``capacities`` pack_size_id and capacity_tokens. Each
@@ -133,7 +160,7 @@ def pack(items: DataFrame, capacities: DataFrame, block: int = BLOCK) -> DataFra
         group = group.sort_values("doc_id")
         ids, tokens = group["doc_id"].tolist(), group["n_tokens"].tolist()
         for size_id, capacity in sizes:
-            rows += [(size_id, f"{size_id}-{key[0]}-{p}", *x) for p, *x in pack_block(ids, tokens, capacity)]
+            rows += [(size_id, f"{size_id}-{key[0]}-{p}", *x) for p, *x in pack_block(ids, tokens, capacity, nodes)]
         return pd.DataFrame(rows, columns=["pack_size_id", "pack_id", "doc_id", "piece", "start_token", "n_tokens"])
 
     # a stated number of partitions: adaptive execution would put small blocks into one task

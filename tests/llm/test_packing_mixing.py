@@ -113,3 +113,16 @@ def test_tokens_of_whole_texts(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in tk.with_token_counts(df, "doc_id", "text").collect()}
     encoding = tk.load_encoding(tk.FOLDER, tk.VOCABULARY)
     assert got == {1: len(encoding.encode_ordinary("hello world")), 2: 0, 3: 0, 4: len(encoding.encode_ordinary("語" * 5000))}
+
+
+def test_packs_lie_between_the_bound_and_best_fit():
+    rng = random.Random(8)
+    for capacity in (50, 100):
+        sizes = [rng.randrange(1, capacity) for _ in range(60)]
+        packs = {n: len({p for p, *_ in pk.pack_block(list(range(60)), sizes, capacity, n)}) for n in (1, 400, 0)}
+        assert all(-(-sum(sizes) // capacity) <= n <= len(pk.best_fit(sizes, capacity)) for n in packs.values())
+        for n in (1, 0):
+            filled = {}
+            for p, _, _, _, size in pk.pack_block(list(range(60)), sizes, capacity, n):
+                filled[p] = filled.get(p, 0) + size
+            assert max(filled.values()) <= capacity and sum(filled.values()) == sum(sizes)
