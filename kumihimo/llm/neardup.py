@@ -49,10 +49,8 @@ BRIEF, BRIEF_LEAST = 32, 15
 THRESHOLD = 0.5
 #: A variant shared by more texts than this is linked through one of them first.
 HOT = 64
-#: Texts meet in such variants if these have at least this share of their index rows.
-HOT_SHARE = 0.3
-#: Blocks into which the members of a very common variant are dealt.
-BLOCKS = 16
+#: Members of a common variant to a block, into which they are dealt, and most blocks of one.
+BLOCK, BLOCKS = 512, 64
 
 RE_STOPS = re.compile(r"[。｡．！？!?\r\n]+")
 
@@ -212,11 +210,10 @@ def register_similarity(a: str, b: str) -> F.Column:
 def group_links(reps: DataFrame, hot: int = HOT, similarity: float = THRESHOLD) -> DataFrame:
     """Verified links a < b between distinct texts, enough of them to connect every group.
 
-    A variant shared by at most ``hot`` texts gives all its pairs. In a more common one, a
-    text takes part if such variants make up ``HOT_SHARE`` of its index rows: texts that
-    share over half, and less than that in common variants, share others too. Its members
-    are linked with the least one first; then every member that is not in the component of
-    most is tried against all members outside its own component, in blocks. Links left out
+    A variant shared by at most ``hot`` texts gives all its pairs. The members of a more common
+    one, all of them, are linked with the least one first; then every member that is not in
+    the component of most is tried against all members outside its own component, in blocks,
+    which may be as many trials as such a variant has pairs. Links left out
     thereby join texts that are connected anyway, so groups don't depend on ``hot``.
     """
     indexed = index_rows(reps)
@@ -229,22 +226,21 @@ def group_links(reps: DataFrame, hot: int = HOT, similarity: float = THRESHOLD)
     common = shared.where(F.col("n") > hot)
     if common.isEmpty():
         return links
-    size = reps.select("row_id", (F.size("segments") * PLACES).alias("size"))
-    share = common.groupBy("row_id").agg(F.count("*").alias("n_common")).join(size, "row_id").where(F.col("n_common") >= HOT_SHARE * F.col("size"))
-    warm = written(common.join(share.select("row_id"), "row_id").select("row_id", "brief", "variant").distinct())
+    warm = written(common.select("row_id", "brief", "variant", "n").distinct())
     center = warm.groupBy("variant").agg(F.min_by(F.struct(F.col("row_id").alias("a"), F.col("brief").alias("brief_a")), "row_id").alias("center"))
     star = warm.join(center.select("variant", "center.*"), "variant").where((F.col("row_id") != F.col("a")) & may_be_similar("brief", "brief_a"))
     star = star.select("a", F.col("row_id").alias("b")).distinct()
     links = written(links.unionByName(verified(star, reps, similarity)).distinct())
     known = connected_components(links, "a", "b").withColumnRenamed("node", "row_id")
-    placed = written(warm.join(known, "row_id", "left").select("row_id", "brief", "variant", F.coalesce("component", "row_id").alias("component")))
+    placed = written(warm.join(known, "row_id", "left").select("row_id", "brief", "variant", "n", F.coalesce("component", "row_id").alias("component")))
     sizes = placed.groupBy("variant", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("variant").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
     odd = placed.join(most, "variant").where("component <> most")
     if odd.isEmpty():
         return links
-    x = odd.select("variant", F.col("row_id").alias("x"), F.col("brief").alias("brief_x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    y = placed.select("variant", F.col("row_id").alias("y"), F.col("brief").alias("brief_y"), F.col("component").alias("cy"), F.pmod(F.xxhash64("row_id"), F.lit(BLOCKS)).cast("int").alias("block"))
+    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK)).cast("int")
+    x = odd.select("variant", F.col("row_id").alias("x"), F.col("brief").alias("brief_x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    y = placed.select("variant", F.col("row_id").alias("y"), F.col("brief").alias("brief_y"), F.col("component").alias("cy"), F.pmod(F.xxhash64("row_id"), blocks).cast("int").alias("block"))
     rest = x.join(y, ["variant", "block"]).where((F.col("cx") != F.col("cy")) & may_be_similar("brief_x", "brief_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return links.unionByName(verified(rest, reps, similarity))
 

@@ -121,3 +121,16 @@ def test_recall_in_every_band(spark, stop):
             bands.setdefault((kind, "0.56-0.65" if j < 0.65 else "0.65-0.8" if j < 0.8 else "0.8-1"), []).append(i in found)
     print({k: (round(sum(v) / len(v), 3), len(v)) for k, v in sorted(bands.items())})
     assert all(sum(v) / len(v) >= 0.9 for v in bands.values()), bands.keys()
+
+
+def test_links_in_common_variants_only_are_kept(spark):
+    """Pairs that share few variants, all of them common: the same groups as if none were."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(80):
+        parts = sentences(rng)
+        rows += [(2 * i, None, "。".join(parts)), (2 * i + 1, None, "。".join(altered(rng, parts, "characters", 0.05)))]
+    df = frame(spark, rows)
+    whole = groups(df)
+    assert len(whole) >= 70 and all(a // 2 == b // 2 for a, b in whole)
+    assert groups(df, hot=1) == whole
