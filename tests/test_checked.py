@@ -137,3 +137,13 @@ def test_sinks(spark, oof, tmp_path):
     assert spark.read.text(f"{tmp_path}/p").first()[0] == '{"done": 3}'
     row = spark.range(1).select(io.percent(F.lit(0.125)).alias("p"), io.thousands(F.lit(1234)).alias("t")).first()
     assert tuple(row) == ("12.5%", "1,234")
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from kumihimo.sources.shared import written
+
+    files = lambda: {f.getName() for f in (lambda all_: [all_.apply(i) for i in range(all_.size())])(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    out = written(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count())
+    assert not files() - before
+    assert out.count() == 5000 and out.agg(F.sum("count")).first()[0] == 20_000
