@@ -25,10 +25,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kumihimo.operators.components import connected_components
-from kumihimo.operators.skew import with_group_values
+from kumihimo.operators.skew import large_groups, with_group_values
 from kumihimo.sources.shared import written
 
 #: A segment has PLACES places that a wildcard may stand for, of DIGITS digits of 5 bits.
@@ -44,6 +44,8 @@ CHECK_REGISTERS = 112
 #: Registers of the brief sketch that the index rows carry, and how many agree at least: 15 or
 #: more of 32 do for 98 % of the pairs at the threshold, and for one pair in four without likeness.
 BRIEF, BRIEF_LEAST = 32, 15
+#: Registers to a word of the rough sketch, which has two bits of each of them.
+ROUGH = 28
 #: Estimated Jaccard similarity of 5-grams from which two texts are one; texts that share
 #: well over half of their wording stand above 0.65, others below 0.35.
 THRESHOLD = 0.5
@@ -62,6 +64,7 @@ _SCHEMA = T.StructType(
         T.StructField("segments", T.ArrayType(T.LongType())),
         T.StructField("brief", T.LongType()),
         T.StructField("sketch", T.BinaryType()),
+        T.StructField("rough", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -117,11 +120,11 @@ def paired(least: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
-    """row_id, 128-bit fingerprint, segments, a brief sketch, register bytes.
+    """row_id, 128-bit fingerprint, segments, a brief sketch, register bytes, a rough sketch.
 
     The columns are read as one text, a null as nothing. Rows whose ``required`` columns are
     null, and rows without any letter or digit, have no signature and so no partner.
-    The brief sketch is two bits of each of BRIEF registers.
+    The brief sketch is two bits of each of BRIEF registers, the rough one the two lowest of each byte.
     """
     names = list(columns)
 
@@ -163,8 +166,11 @@ def signatures(df: DataFrame, id_column: str, columns: Sequence[str], required:
                 sketch = binary_column((check & np.uint64(0xFF)).astype(np.uint8))
                 two = (check[:, :BRIEF] >> np.uint64(8)) & np.uint64(3)
                 brief = (two << (2 * np.arange(BRIEF, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+                low = (check & np.uint64(3)).reshape(n, -1, ROUGH) << (2 * np.arange(ROUGH, dtype=np.uint64))
+                words = low.sum(axis=2, dtype=np.uint64).view(np.int64)
+                rough = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
                 taken = pa.array(keep)
-                arrays = [batch.column(0).slice(lo, n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), segments, pa.array(brief), sketch]
+                arrays = [batch.column(0).slice(lo, n), pa.array(fp[:, 0]), pa.array(fp[:, 1]), segments, pa.array(brief), sketch, rough]
                 yield pa.RecordBatch.from_arrays([x.take(taken) for x in arrays], names=_SCHEMA.fieldNames())
 
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.trim(F.col(c)) != "") for c in required], F.lit(True))
@@ -183,6 +189,35 @@ def index_rows(reps: DataFrame) -> DataFrame:
     return flat.select("row_id", "brief", F.explode(F.array(*variants)).alias("variant"))
 
 
+def shared_variants(reps: DataFrame, hot: int) -> DataFrame:
+    """Pairs a < row_id that meet in a variant of at most ``hot`` rows, by their brief sketches; a is null in the rows of a more common one.
+
+    The index rows move once: those of a variant stand in order of row_id, and each is held
+    against the few before it. Variants of a share of all rows are taken apart and are common.
+    The rows of a common variant, each once, have its least row as ``center`` where they may be similar to it.
+    """
+    centered = F.when((F.col("first") != F.col("row_id")) & may_be_similar("first_brief", "brief"), F.col("first")).alias("center")
+    indexed = index_rows(reps)
+    large = large_groups(indexed, ["variant"], "row_id")
+    rows = indexed if large is None else indexed.join(F.broadcast(large), "variant", "left_anti")
+    order = Window.partitionBy("variant").orderBy("row_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.collect_list(F.when(F.col("n") <= hot, F.struct("row_id", "brief"))).over(order.rowsBetween(-max(hot, 1), -1))
+    rows = rows.withColumns({"n": F.count("*").over(whole), "first": F.first("row_id").over(whole), "first_brief": F.first("brief").over(whole)}).where("n > 1")
+    rows = rows.withColumns({"before": before, "last": F.lag("row_id").over(order)})
+    rows = rows.select("variant", "row_id", "brief", "n", "last", centered, F.explode_outer("before").alias("x")).withColumns({"a": F.col("x.row_id"), "brief_a": F.col("x.brief")})
+    once = (F.col("n") > hot) & ~F.col("row_id").eqNullSafe(F.col("last"))
+    rows = rows.where(once | ((F.col("a") < F.col("row_id")) & may_be_similar("brief_a", "brief")))
+    in_common = [F.when(F.col("a").isNull(), F.col(c)).alias(c) for c in ("variant", "brief", "n", "center")]
+    rows = rows.select("row_id", "a", *in_common)
+    if large is not None:
+        taken = indexed.join(F.broadcast(large), "variant", "left_semi")
+        stats = taken.groupBy("variant").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.min_by("brief", "row_id").alias("first_brief"))
+        taken = taken.distinct().join(F.broadcast(stats), "variant")
+        rows = rows.unionByName(taken.select("row_id", F.lit(None).cast("long").alias("a"), "variant", "brief", "n", centered))
+    return written(rows)
+
+
 def may_be_similar(a: str, b: str) -> F.Column:
     """Whether brief sketches agree in as many registers as those of similar texts do."""
     x = F.col(a).bitwiseXOR(F.col(b))
@@ -190,6 +225,16 @@ def may_be_similar(a: str, b: str) -> F.Column:
     return BRIEF - F.bit_count(odd) >= BRIEF_LEAST
 
 
+def may_be_linked(a: str, b: str, similarity: float) -> F.Column:
+    """Whether rough sketches agree in as many registers as those of all texts of this ``register_similarity`` do."""
+    differ = F.lit(0)
+    for k in range(CHECK_REGISTERS // ROUGH):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x55555555555555)))
+    # one register less, for rounding
+    return CHECK_REGISTERS - differ >= int(CHECK_REGISTERS * (similarity * 255 + 1) / 256) - 1
+
+
 def register_similarity(a: str, b: str) -> F.Column:
     """Estimated Jaccard similarity of two texts from their register bytes."""
 
@@ -216,33 +261,34 @@ def group_links(reps: DataFrame, hot: int = HOT, similarity: float = THRESHOLD)
     which may be as many trials as such a variant has pairs. Links left out
     thereby join texts that are connected anyway, so groups don't depend on ``hot``.
     """
-    indexed = index_rows(reps)
-    shared = written(with_group_values(indexed, ["variant"], {"n": F.count("*")}, "row_id").where("n > 1"))
-    cold = shared.where(F.col("n") <= hot)
-    a = cold.select("variant", F.col("row_id").alias("a"), F.col("brief").alias("brief_a"))
-    b = cold.select("variant", F.col("row_id").alias("b"), F.col("brief").alias("brief_b"))
-    met = a.join(b, (a.variant == b.variant) & (F.col("a") < F.col("b")) & may_be_similar("brief_a", "brief_b"))
-    links = verified(met.select("a", "b").distinct(), reps, similarity)
-    common = shared.where(F.col("n") > hot)
-    if common.isEmpty():
+    shared = shared_variants(reps, hot)
+    met = shared.where("a is not null").select("a", F.col("row_id").alias("b"))
+    links = verified(met.distinct(), reps, similarity)
+    warm = shared.where("a is null").select("row_id", "brief", "variant", "n", "center")
+    if warm.isEmpty():
         return links
-    warm = written(common.select("row_id", "brief", "variant", "n").distinct())
-    center = warm.groupBy("variant").agg(F.min_by(F.struct(F.col("row_id").alias("a"), F.col("brief").alias("brief_a")), "row_id").alias("center"))
-    star = warm.join(center.select("variant", "center.*"), "variant").where((F.col("row_id") != F.col("a")) & may_be_similar("brief", "brief_a"))
-    star = star.select("a", F.col("row_id").alias("b")).distinct()
+    star = warm.where("center is not null").select(F.col("center").alias("a"), F.col("row_id").alias("b")).distinct()
     links = written(links.unionByName(verified(star, reps, similarity)).distinct())
     known = connected_components(links, "a", "b").withColumnRenamed("node", "row_id")
-    placed = written(warm.join(known, "row_id", "left").select("row_id", "brief", "variant", "n", F.coalesce("component", "row_id").alias("component")))
+    placed = warm.join(known, "row_id", "left").join(reps.select("row_id", "rough"), "row_id")
+    placed = written(placed.select("row_id", "brief", "rough", "variant", "n", F.coalesce("component", "row_id").alias("component")))
     sizes = placed.groupBy("variant", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("variant").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-    odd = placed.join(most, "variant").where("component <> most")
-    if odd.isEmpty():
+    most = written(sizes.groupBy("variant").agg(F.max_by("component", F.struct("n", "component")).alias("most")))
+    marked = placed.join(most, "variant").withColumn("odd", F.expr("component <> most"))
+    odd = marked.where("odd and n > %d" % BLOCK)
+    if marked.where("odd").isEmpty():
         return links
+    near = (F.col("cx") != F.col("cy")) & may_be_similar("brief_x", "brief_y") & may_be_linked("rough_x", "rough_y", similarity)
+    # a variant of one block: both sides are the same rows, which are moved once
+    one = marked.where(F.col("n") <= BLOCK)
+    p, q = (one.select("variant", F.col("row_id").alias(m), F.col("brief").alias(f"brief_{m}"), F.col("rough").alias(f"rough_{m}"), F.col("component").alias(f"c{m}"), F.col("odd").alias(f"odd_{m}")) for m in "xy")
+    within = p.join(q, "variant").where((F.col("x") < F.col("y")) & (F.col("odd_x") | F.col("odd_y")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
     blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / BLOCK)).cast("int")
-    x = odd.select("variant", F.col("row_id").alias("x"), F.col("brief").alias("brief_x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    y = placed.select("variant", F.col("row_id").alias("y"), F.col("brief").alias("brief_y"), F.col("component").alias("cy"), F.pmod(F.xxhash64("row_id"), blocks).cast("int").alias("block"))
-    rest = x.join(y, ["variant", "block"]).where((F.col("cx") != F.col("cy")) & may_be_similar("brief_x", "brief_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return links.unionByName(verified(rest, reps, similarity))
+    x = odd.select("variant", F.col("row_id").alias("x"), F.col("brief").alias("brief_x"), F.col("rough").alias("rough_x"), F.col("component").alias("cx"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    y = placed.where(F.col("n") > BLOCK).select("variant", F.col("row_id").alias("y"), F.col("brief").alias("brief_y"), F.col("rough").alias("rough_y"), F.col("component").alias("cy"), F.pmod(F.xxhash64("row_id"), blocks).cast("int").alias("block"))
+    rest = x.join(y, ["variant", "block"]).where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = rest.unionByName(within).distinct()
+    return links.unionByName(verified(written(rest), reps, similarity))
 
 
 def verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 
 from kumihimo.llm import neardup as nd
-from tests.llm.test_overlap import text
+from tests.llm.test_overlap import rows_moved, text
 
 SCHEMA = "row_id long, a string, b string, variant string, rep long, sketch string"
 
@@ -134,3 +134,31 @@ def test_links_in_common_variants_only_are_kept(spark):
     whole = groups(df)
     assert len(whole) >= 70 and all(a // 2 == b // 2 for a, b in whole)
     assert groups(df, hot=1) == whole
+
+
+def test_index_rows_move_once(spark):
+    """Texts of which every variant is shared by three: no second shuffle of the rows that have partners."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(300):
+        parts = sentences(rng)
+        rows += [(3 * i + k, None, "。".join(altered(rng, parts, "replaced", 0.02 * k))) for k in range(3)]
+    df = frame(spark, rows)
+    index = nd.index_rows(nd.signatures(df, "row_id", ["a", "b"])).count()
+    before = rows_moved(spark)
+    assert groups(df) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(300)]
+    assert rows_moved(spark) - before < 1.6 * index
+
+
+def test_rough_sketches_never_drop_a_link(spark):
+    rng = random.Random(29)
+    rows = []
+    for i in range(60):
+        parts = sentences(rng)
+        rows += [(2 * i, None, "。".join(parts)), (2 * i + 1, None, "。".join(altered(rng, parts, "replaced", 0.2 + 0.004 * i)))]
+    sigs = nd.signatures(frame(spark, rows), "row_id", ["a", "b"]).select("row_id", "sketch", "rough").toPandas()
+    both = spark.createDataFrame([(int(p.row_id), int(q.row_id), bytes(p.sketch), bytes(q.sketch), list(map(int, p.rough)), list(map(int, q.rough))) for p, q in combinations(sigs.itertuples(), 2)], "a long, b long, s binary, t binary, x array<long>, y array<long>")
+    got = both.select("a", "b", nd.register_similarity("s", "t").alias("is"), nd.may_be_linked("x", "y", nd.THRESHOLD).alias("may")).collect()
+    linked = [r for r in got if r["is"] >= nd.THRESHOLD]
+    assert 20 < len(linked) < 60 and all(r["may"] for r in linked)
+    assert sum(r["may"] for r in got) < 2 * len(linked)
