@@ -46,7 +46,9 @@ def global_percent_rank(df: DataFrame, value: str, out: str, by: Sequence[str] =
 
     Counts by distinct value are summed along the values' order and joined back, so only
     distinct values are sorted; the sort is by range partitions of the values and a small
-    table of their totals, never a single task of rows. NULL values have a NULL rank.
+    table of their totals, never a single task of rows. NULL values have a NULL rank. The
+    distinct values may be as many as the rows, so no side of theirs is gathered at the driver
+    for a broadcast, however small it is once compressed.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     placed = running_total(counts, value, "_n", "_upto", by)
@@ -58,7 +60,7 @@ def global_percent_rank(df: DataFrame, value: str, out: str, by: Sequence[str] =
         total = counts.agg(F.sum("_n")).first()[0] or 1
         placed = placed.withColumn("_all", F.lit(total))
     ranks = placed.select(*by, value, (F.col("_rank") / F.col("_all")).alias(out))
-    return df.join(ranks, [*by, value], "left")
+    return df.join(ranks.hint("merge"), [*by, value], "left")
 
 
 def range_of(value: Column, edges: Sequence[float], base: int = 0) -> Column:
@@ -84,7 +86,8 @@ def running_total(df: DataFrame, order: str, amount: str | Sequence[str], out: s
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*by, "_range", *[F.coalesce(F.sum(f"_sum_{a}").over(before), F.lit(0)).alias(f"_offset_{a}") for a in amounts])
     inside = Window.partitionBy(*by, "_range").orderBy(order)
-    joined = ranged.join(F.broadcast(offsets), "_range") if not by else ranged.join(offsets, [*by, "_range"])
+    # the window needs the rows in the order of these keys anyway
+    joined = ranged.join(F.broadcast(offsets), "_range") if not by else ranged.hint("merge").join(offsets, [*by, "_range"])
     totals = joined.withColumns({o: F.col(f"_offset_{a}") + F.sum(a).over(inside) for a, o in zip(amounts, outs, strict=True)})
     return totals.drop("_range", *[f"_offset_{a}" for a in amounts])
 

@@ -154,7 +154,7 @@ def fold_percent_ranks(spark: SparkSession, base: str) -> DataFrame:
 
 def shared_rows(spark: SparkSession, base: str) -> DataFrame:
     both = table(spark, base, "oof_predictions").where("model_a IS NOT NULL AND model_b IS NOT NULL AND NOT isnan(model_a) AND NOT isnan(model_b)")
-    rows = written(both.join(labelled(spark, base).select("row_id", "target"), "row_id").where("target IS NOT NULL"))
+    rows = written(both.join(labelled(spark, base).select("row_id", "target").hint("merge"), "row_id").where("target IS NOT NULL"))
     usable = rows.groupBy("validation_year").agg(F.count_distinct("target").alias("k")).where("k = 2")
     return rows.join(usable.select("validation_year"), "validation_year")
 

@@ -187,3 +187,15 @@ def test_hill_climb_query_has_the_usual_number_of_steps(spark, monkeypatch):
     monkeypatch.setattr(modelling, "shared_rows", lambda *a: None)
     monkeypatch.setattr(modelling.en, "hill_climb", climb)
     assert modelling.hill_climb(spark, "").count() == 1 and steps == [50]
+
+
+def test_ranks_of_as_many_values_as_rows_are_not_gathered_for_a_broadcast(spark):
+    from kumihimo.functions.expr import global_percent_rank, running_total
+
+    df = spark.range(100).select((F.col("id") % 2).alias("fold"), (F.col("id") / 100).alias("v"), F.lit(1).alias("n"))
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    ranks = global_percent_rank(df, "v", "rank", ["fold"])
+    outer = [line for line in plan(ranks).splitlines() if "LeftOuter" in line]
+    assert outer and all("SortMergeJoin" in line for line in outer)
+    assert "SortMergeJoin" in plan(running_total(df, "v", "n", "upto", ["fold"]))
+    assert {r["v"]: r["rank"] for r in ranks.collect()}[0.5] == pytest.approx(26 / 50)
