@@ -169,3 +169,39 @@ def test_chat_answers():
 def test_token_batches(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([3, 3, 3, 20, 1, 1, 1])], "row_id int, estimated_tokens long").coalesce(1)
     assert [r["batch"] for r in emb.token_batches(df, 6, 2).orderBy("row_id").collect()] == [0, 0, 1, 2, 3, 3, 4]
+
+
+def test_ngrams_of_batches_are_those_of_the_joins(spark, monkeypatch):
+    import numpy as np
+
+    from kumihimo.functions import grams
+
+    rows = [(i, x, y) for i, (x, y) in enumerate([("Aa\x00Aa  b", "道路の整備"), ("道路の 整備の整備", None), (None, "aa aa"), ("", ""), ("😀😀道路", "整備の整備😀é"), ("aa", "a")])]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string")
+    expected = {}
+    for c in ("a", "b"):
+        counts = tfidf.term_counts(df, "row_id", c, 2, 5)
+        expected |= {(r["row_id"], f"{c}__{r['term']}"): r["weight"] for r in tfidf.transform(counts, tfidf.fit_vocabulary(counts, 6, 2, 1.0, 7)).collect()}
+    fitted = tfidf.fit_vocabularies(df, ["a", "b"], 6, 2, 5, max_features=7)
+    got = {(r["row_id"], r["feature"]): r["weight"] for r in tfidf.text_weights(df, "row_id", ["a", "b"], fitted, 2, 5).collect()}
+    assert got == pytest.approx(expected) and len(got) == 10
+    vectors, width = tfidf.text_vectors(df, "row_id", ["a", "b"], fitted, 2, 5)
+    names = [f"{c}__{t}" for c, (terms, _) in zip("ab", fitted) for t in terms]
+    assert width == len(names)
+    seen = {(r["row_id"], names[i]): v for r in vectors.collect() for i, v in zip(r["tfidf"].indices.tolist(), r["tfidf"].values)}
+    assert seen == pytest.approx(expected, rel=1e-6) and vectors.count() == 6
+    # terms of one hash are told apart
+    texts = ["道路の 整備の整備", "", "整備の整備😀é"]
+    before = grams.Vocabulary(fitted[1][0], fitted[1][1].idf).weights(texts, 2, 5)
+    monkeypatch.setattr(grams, "hashed", lambda lo, hi: lo % np.uint64(2))
+    after = grams.Vocabulary(fitted[1][0], fitted[1][1].idf).weights(texts, 2, 5)
+    assert len(before[0]) and all((x == y).all() for x, y in zip(before[:2], after[:2])) and after[2] == pytest.approx(before[2])
+
+
+def test_weights_of_a_row_need_no_join(spark, monkeypatch):
+    from kumihimo.plans import textual
+
+    train = spark.createDataFrame([(i, *["同じ文の文"] * 4) for i in range(3)], "row_id long, " + ", ".join(f"{c} string" for c in textual.TEXTS))
+    monkeypatch.setattr(textual, "table", lambda *a: train)
+    out = textual.text_tfidf(spark, "")
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 3 * 4 * 10
