@@ -205,3 +205,13 @@ def test_weights_of_a_row_need_no_join(spark, monkeypatch):
     monkeypatch.setattr(textual, "table", lambda *a: train)
     out = textual.text_tfidf(spark, "")
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 3 * 4 * 10
+
+
+def test_weights_of_distinctive_ngrams_are_made_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", "道路の整備"), (2, "a", "道路の点検"), (3, "b", "河川の点検"), (4, "b", "河川の整備")], "id long, g string, t string")
+    plans = []
+    real = tfidf.written
+    monkeypatch.setattr(tfidf, "written", lambda x, *a: plans.append(x) or real(x, *a))
+    got = tfidf.distinctive_ngrams(df, ["g"], "id", "t", 2, 3, 2)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString() and plans
+    assert {(r["g"], r["phrase"]) for r in got.where("phrase_rank <= 2").collect()} == {("a", "路の"), ("a", "道路"), ("b", "川の"), ("b", "河川")}
